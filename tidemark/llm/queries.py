@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, oracles, pii, quality_rules, url_filter
+from . import mixing, oracles, packing, pii, quality_rules, secrets, url_filter
 from .common import read
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.apply_rules(pages, url_filter.rules_table(spark, URL_RULES)).drop("url")
@@ -24,9 +28,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("shard", "n_blocks", "quota")
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op7_quality_rules, op8_pii, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_url_filter, op7_quality_rules, op8_pii, op9_secrets, op10_mixing)}
 ORACLES = oracles.SQL
