@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, oracles, packing, pii, quality_rules, secrets, url_filter
+from . import fingerprints, mixing, oracles, packing, pii, quality_rules, secrets, url_filter
 from .common import read
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,5 +40,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("shard", "n_blocks", "quota")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_url_filter, op7_quality_rules, op8_pii, op9_secrets, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op5_url_filter, op7_quality_rules, op8_pii, op9_secrets, op10_mixing)}
 ORACLES = oracles.SQL
