@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, oracles, packing, pii, quality_rules, secrets, url_filter
+from . import fingerprints, language_id, mixing, oracles, packing, pii, quality_rules, secrets, url_filter
 from .common import read
 
 #: (verdict, host, path)
@@ -24,6 +24,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply_rules(pages, url_filter.rules_table(spark, URL_RULES)).drop("url")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("n_lines")
 
@@ -40,5 +44,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("shard", "n_blocks", "quota")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op5_url_filter, op7_quality_rules, op8_pii, op9_secrets, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op5_url_filter, op6_language_id, op7_quality_rules, op8_pii, op9_secrets, op10_mixing)}
 ORACLES = oracles.SQL
