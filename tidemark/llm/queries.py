@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, mixing, oracles, packing, pii, quality_rules, secrets, toxicity, url_filter
+from . import fingerprints, language_id, mixing, odd_sketch, oracles, packing, pii, quality_rules, secrets, toxicity, url_filter
 from .common import read
 
 #: (verdict, host, path)
@@ -19,6 +19,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=3, threshold_percent=85)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
 
@@ -48,5 +52,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("shard", "n_blocks", "quota")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op4_toxicity, op5_url_filter, op6_language_id, op7_quality_rules, op8_pii, op9_secrets, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_near_duplicates, op4_toxicity, op5_url_filter, op6_language_id, op7_quality_rules, op8_pii, op9_secrets, op10_mixing)}
 ORACLES = oracles.SQL
