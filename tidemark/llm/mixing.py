@@ -105,3 +105,15 @@ def mix(docs: DataFrame, keep: list[str] | None = None, block: int = BLOCK, shar
     over = lambda a, b: F.greatest(F.lit(0), F.least(F.col("_end"), b) - F.greatest(F.col("_start"), a))
     some = over(edge(first), edge(F.least(first + rest, blocks))) + over(F.lit(0), edge(F.greatest(first + rest - blocks, F.lit(0))))
     return rows.withColumn("taken", (rounds * F.col("size") + some).cast("long")).select(*keep, "size", "source_size", "target", "taken", "shard", "n_blocks", "quota")
+
+
+def resample(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix takes it, rounded to whole documents.
+
+    Only documents on a shard's first or last chosen words are cut by mix, so
+    rounding moves each shard by less than two documents.
+    """
+    copies = mix(docs, ["doc_id"], block, shard_words, repeats, seed).where("taken > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
+    copies = copies.groupBy("_id").agg(F.max("_n").alias("_n")).where("_n > 0")
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)

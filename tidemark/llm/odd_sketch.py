@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -323,3 +323,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, threshol
     out = rows.select("doc_id", "n_shingles", "node").join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, threshold_percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, with one row for each group of near duplicates: that of the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays.  Rows with a null doc_id cannot be
+    told apart and all stay.
+    """
+    kept = near_duplicates(docs, text, size, threshold_percent).where("kept and doc_id is not null").select("doc_id")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))
+    once = docs.join(kept, "doc_id", "left_semi").withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
+    return once.unionByName(docs.where("doc_id is null"))

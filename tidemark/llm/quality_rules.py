@@ -110,25 +110,43 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
     return tests.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """keep plus the statistics, base_failed, kept and reason (base, a rule's name, or null).
+def _stratified(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit("(none)")))
 
-    Strata are languages; a null language is one of its own.  labels: doc_id and
-    quality (1: good); repeated labels count once and are good only if all are.
-    A stratum with too few good labelled documents gets no cutoff and rejects
-    only what the base rule rejects.
-    """
-    keep = keep if keep is not None else ["doc_id"]
-    own = [c for c in dict.fromkeys(["doc_id", *keep])]
-    stats = text_stats(docs.withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit("(none)"))), [*own, "_stratum"])
-    stats = stats.select("*", *[_level(RULES[r]()).alias(f"_{r}") for r in RULES])
-    stats = materialize(stats, "quality")
+
+def _cutoff_table(stats: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """_stratum and a column _cut_<rule> for each rule, from documents' statistics; a row per stratum with a cutoff."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1")
-    labelled = stats.where(~F.col("base_failed")).join(good, "doc_id").select(F.col("_stratum").alias("stratum"), *[F.col(f"_{r}").alias(r) for r in RULES])
+    labelled = stats.where(~F.col("base_failed")).join(good, "doc_id").select(F.col("_stratum").alias("stratum"), *[_level(RULES[r]()).alias(r) for r in RULES])
     cutoffs = certified_cutoffs(labelled, alpha, delta)
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES]).withColumnRenamed("stratum", "_stratum")
-    out = stats.join(wide, "_stratum", "left")
+    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
+    return materialize(wide.withColumnRenamed("stratum", "_stratum"), "cutoffs")
+
+
+def _reasoned(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
     reason = F.when(F.col("base_failed"), "base")
     for r in RULES:
         reason = reason.when(RULES[r]() >= F.col(f"_cut_{r}"), r)
-    return out.withColumn("reason", reason).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", F.col("reason").isNull().alias("kept"), "reason")
+    return stats.join(cutoffs, "_stratum", "left").withColumn("reason", reason)
+
+
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """doc_id, the statistics, base_failed, kept and reason (base, a rule's name, or null) of every row.
+
+    Strata are languages; a null language is one of its own.  labels: doc_id and
+    quality (1: good); repeated labels count once and are good only if all are.
+    A stratum with too few good labelled documents gets no cutoff and rejects
+    only what the base rule rejects.
+    """
+    stats = materialize(text_stats(_stratified(docs), ["doc_id", "_stratum"]), "quality")
+    out = _reasoned(stats, _cutoff_table(stats, labels, alpha, delta))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", F.col("reason").isNull().alias("kept"), "reason")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of docs, all columns, that judge keeps.  Cutoffs are found first; the texts are then read again and filtered where they are."""
+    columns = docs.columns
+    stats = materialize(text_stats(_stratified(docs), ["doc_id", "_stratum"]), "quality")
+    cutoffs = _cutoff_table(stats, labels, alpha, delta)
+    rows = _stratified(docs.select("*", F.struct(*columns).alias("_row")))
+    return _reasoned(text_stats(rows, ["_row", "_stratum"]), cutoffs).where("reason is null").select("_row.*")
