@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import ALPHA, DELTA, GRID, RULES
+
 _URL = r"""
 with rules(verdict, host, path) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 cut as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
@@ -13,4 +15,38 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fit
 qualify row_number() over (partition by page_id order by length(rule) desc nulls last) = 1
 """
 
-SQL = {"op5_url_filter": _URL}
+_RULES = {"symbols": "1e2 * n_symbols / greatest(word_chars, 1)", "dup_lines": "1e2 * n_dup_lines / greatest(n_lines, 1)"}
+_QUALITY = (
+    r"""
+with d as (select doc_id, coalesce(lang, '(none)') as stratum, coalesce(text, '') as t from documents),
+w as (select doc_id, stratum, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+win as (select doc_id, unnest(range(1, len(ws) - 6)) as i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) as s from w where len(ws) > 8),
+many as (select doc_id, i from win qualify count(*) over (partition by doc_id, s) > 1),
+rep as (select doc_id, count(distinct i + k) as n from many, range(8) r(k) group by doc_id),
+st as (select w.doc_id, stratum, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from w left join rep on rep.doc_id = w.doc_id),
+s as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, """
+    + ", ".join(f"{_RULES[r]} as f_{r}" for r in RULES)
+    + """ from st),
+good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
+lab as (select * from s join good using (doc_id) where not base_failed),
+grid as (select i - 1 as step, ["""
+    + ", ".join(map(str, GRID))
+    + "][i] as cutoff from range(1, "
+    + str(len(GRID) + 1)
+    + """) g(i)),
+tests as ("""
+    + " union all ".join(f"select stratum, '{r}' as rule, step, cutoff, count(*) as n, count(*) filter (where f_{r} >= cutoff) as x from lab, grid group by all" for r in RULES)
+    + f"""),
+tails as (select *, case when x >= n * {ALPHA}::double then 1e0 else list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}::double) + (n - i) * ln(1 - {ALPHA}::double)))) end
+  <= {DELTA}::double / {len(RULES)} / (select count(distinct stratum) from lab) as ok from tests),
+cuts as (select stratum, rule, min(cutoff) as cutoff from (select *, min(case when not ok then step end) over (partition by stratum, rule) as failed from tails) where ok and (failed is null or step < failed) group by all),
+v as (select s.*, case when base_failed then 'base' """
+    + " ".join(f"when f_{r} >= (select cutoff from cuts where cuts.stratum = s.stratum and rule = '{r}') then '{r}'" for r in RULES)
+    + """ end as reason from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason is null as kept, reason from v
+"""
+)
+
+SQL = {"op5_url_filter": _URL, "op7_quality_rules": _QUALITY}
