@@ -48,10 +48,14 @@ def test_binomial_tail(spark):
 
 
 def test_cutoffs_bound_false_rejections(spark):
-    # 2000 good documents: 1 % have level 3 (rejected from cutoff step 3 on), 5 % have level 10
-    rows = [("en", 3 if i < 10 else 10 if i < 110 else 19, 19) for i in range(2000)] + [("de", 19, 19)] * 30
-    got = {(r.stratum, r.rule): r.cutoff for r in quality_rules.certified_cutoffs(spark.createDataFrame(rows, "stratum string, symbols int, dup_lines int")).collect()}
-    assert got == {("en", "symbols"): quality_rules.GRID[9], ("en", "dup_lines"): quality_rules.GRID[18]}
+    # 2000 good documents: 0.5 % are rejected from step 3 on, 5.5 % from step 10; the bad ones from step 5 or 10
+    def found(bad):
+        rows = [("en", True, 3 if i < 10 else 10 if i < 110 else 19, 19) for i in range(2000)] + [("de", True, 19, 19)] * 30 + [("en", False, bad, 19), ("de", False, 0, 0)] * 50
+        out = quality_rules.certified_cutoffs(spark.createDataFrame(rows, "stratum string, good boolean, symbols int, dup_lines int"))
+        return {(r.stratum, r.rule): r.cutoff for r in out.collect()}
+
+    assert found(5) == {("en", "symbols"): quality_rules.GRID[5]}
+    assert found(10) == {}
 
 
 def test_judge_keeps_rows(spark):

@@ -29,19 +29,20 @@ st as (select w.doc_id, stratum, len(ws) as n_words, length(array_to_string(ws,
 s as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, """
     + ", ".join(f"{_RULES[r]} as f_{r}" for r in RULES)
     + """ from st),
-good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
-lab as (select * from s join good using (doc_id) where not base_failed),
+marks as (select doc_id, min(quality) = 1 as good from labels where quality is not null group by doc_id),
+lab as (select * from s join marks using (doc_id) where not base_failed),
 grid as (select i - 1 as step, ["""
     + ", ".join(map(str, GRID))
     + "][i] as cutoff from range(1, "
     + str(len(GRID) + 1)
     + """) g(i)),
 tests as ("""
-    + " union all ".join(f"select stratum, '{r}' as rule, step, cutoff, count(*) as n, count(*) filter (where f_{r} >= cutoff) as x from lab, grid group by all" for r in RULES)
+    + " union all ".join(f"select stratum, '{r}' as rule, step, cutoff, count(*) filter (where good) as n, count(*) filter (where good and f_{r} >= cutoff) as x, count(*) filter (where not good) as nb, count(*) filter (where not good and f_{r} >= cutoff) as xb from lab, grid group by all" for r in RULES)
     + f"""),
 tails as (select *, case when x >= n * {ALPHA}::double then 1e0 else list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}::double) + (n - i) * ln(1 - {ALPHA}::double)))) end
   <= {DELTA}::double / {len(RULES)} / (select count(distinct stratum) from lab) as ok from tests),
-cuts as (select stratum, rule, min(cutoff) as cutoff from (select *, min(case when not ok then step end) over (partition by stratum, rule) as failed from tails) where ok and (failed is null or step < failed) group by all),
+cuts as (select stratum, rule, cutoff from (select *, min(case when not ok then step end) over (partition by stratum, rule) as failed from tails) where ok and (failed is null or step < failed) and xb * n > x * nb
+  qualify row_number() over (partition by stratum, rule order by xb * n - x * nb desc, cutoff desc) = 1),
 v as (select s.*, case when base_failed then 'base' """
     + " ".join(f"when f_{r} >= (select cutoff from cuts where cuts.stratum = s.stratum and rule = '{r}') then '{r}'" for r in RULES)
     + """ end as reason from s)

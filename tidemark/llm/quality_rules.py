@@ -7,7 +7,9 @@ binomial tail P(Bin(n, alpha) <= x) is at most delta / (strata * rules), with n
 good labelled documents in the stratum of which the cutoff rejects x.  Testing
 in that fixed order and stopping at the first failure needs no further
 correction over cutoffs; Bonferroni covers strata and rules.  With probability
-1 - delta, no rule rejects more than alpha of any stratum's good documents.
+1 - delta, no certified cutoff rejects more than alpha of any stratum's good
+documents.  Of a stratum's certified cutoffs a rule takes the one that separates
+bad from good labelled documents best, and none if none does.
 """
 
 from __future__ import annotations
@@ -94,20 +96,24 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff: the strictest certified cutoff of each stratum and rule that has one.
+    """stratum, rule, cutoff: the certified cutoff of the largest gain, of equals the most lenient, where that is positive.
 
-    labelled: stratum and the rules' levels (columns named by rule) of good labelled documents.
+    labelled: stratum, good, and the rules' levels (columns named by rule).  The
+    gain is the share of bad documents rejected less that of good ones.
     """
-    counts = labelled.groupBy("stratum", *RULES).agg(F.count(F.lit(1)).alias("n"))
-    each = counts.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES])).alias("x")).select("stratum", "n", "x.rule", "x.level")
-    each = each.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", "n")).alias("levels"))
+    counts = labelled.groupBy("stratum", *RULES).agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad"))
+    each = counts.select("stratum", "n", "bad", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES])).alias("x")).select("stratum", "n", "bad", "x.rule", "x.level")
+    each = each.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.collect_list(F.struct("level", "n", "bad")).alias("levels"))
     strata = labelled.select("stratum").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
     tests = each.join(F.broadcast(strata)).select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.lit(c).alias("cutoff")) for k, c in enumerate(GRID)])).alias("g"))
-    rejected = F.aggregate("levels", F.lit(0).cast("long"), lambda acc, v: acc + F.when(v["level"] <= F.col("g.step"), v["n"]).otherwise(0))
-    tests = tests.select("stratum", "rule", "g.step", "g.cutoff", (binomial_tail(rejected, F.col("n"), alpha) <= delta / len(RULES) / F.col("strata")).alias("ok"))
+
+    def rejected(kind):
+        return F.aggregate("levels", F.lit(0).cast("long"), lambda acc, v: acc + F.when(v["level"] <= F.col("g.step"), v[kind]).otherwise(0))
+
+    tests = tests.select("stratum", "rule", "g.step", "g.cutoff", (binomial_tail(rejected("n"), F.col("n"), alpha) <= delta / len(RULES) / F.col("strata")).alias("ok"), (rejected("bad") * F.col("n") - rejected("n") * F.col("bad")).alias("gain"))
     runs = tests.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("step"))).alias("failed"))
-    tests = tests.join(runs, ["stratum", "rule"]).where(F.col("ok") & (F.col("failed").isNull() | (F.col("step") < F.col("failed"))))
-    return tests.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    tests = tests.join(runs, ["stratum", "rule"]).where(F.col("ok") & (F.col("failed").isNull() | (F.col("step") < F.col("failed"))) & (F.col("gain") > 0))
+    return tests.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
 
 
 def _stratified(docs: DataFrame) -> DataFrame:
@@ -116,8 +122,8 @@ def _stratified(docs: DataFrame) -> DataFrame:
 
 def _cutoff_table(stats: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     """_stratum and a column _cut_<rule> for each rule, from documents' statistics; a row per stratum with a cutoff."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1")
-    labelled = stats.where(~F.col("base_failed")).join(good, "doc_id").select(F.col("_stratum").alias("stratum"), *[_level(RULES[r]()).alias(r) for r in RULES])
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    labelled = stats.where(~F.col("base_failed")).join(marks, "doc_id").select(F.col("_stratum").alias("stratum"), "good", *[_level(RULES[r]()).alias(r) for r in RULES])
     cutoffs = certified_cutoffs(labelled, alpha, delta)
     wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
     return materialize(wide.withColumnRenamed("stratum", "_stratum"), "cutoffs")
