@@ -60,3 +60,14 @@ def side_by_side(a: DataFrame, b: DataFrame, columns: list[str], names: tuple[st
     """label and both models' columns with the models' names appended; labels of either."""
     left, right = (df.select("label", *[F.col(c).alias(f"{c}_{n}") for c in columns]) for df, n in zip((a, b), names))
     return left.join(right, "label", "full_outer")
+
+
+def clip_maxima(frames: DataFrame) -> DataFrame:
+    """clip_id, label, p: each label's largest probability in a clip."""
+    return frames.groupBy("clip_id", "label").agg(F.max("p").alias("p"))
+
+
+def alignment_outcomes(rows: DataFrame, least: float = 0.35, longest: float = 30.0) -> DataFrame:
+    """outcome, n of aligned clips (duration, score, n_words): too_long, no_words, failed, poor or located."""
+    outcome = F.when(F.col("duration") > longest, "too_long").when(F.col("n_words") == 0, "no_words").when(F.col("score").isNull(), "failed").when(F.col("score") < least, "poor").otherwise("located")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -92,4 +92,13 @@ def words_from_recogniser(raw: DataFrame) -> DataFrame:
     return raw.where("start_s is not null").withColumn("end_s", F.coalesce("end_s", F.col("start_s") + 0.3))
 
 
+def placed_between(words: DataFrame, marks: DataFrame, durations: DataFrame) -> DataFrame:
+    """marks (clip_id, label, k) plus g0, g1: from the end of word k - 1 (0 before the first) to the start of word k (the clip's end after the last)."""
+    spans = words.select("clip_id", F.col("pos").alias("k"), "start_s", "end_s")
+    before = spans.select("clip_id", (F.col("k") + 1).alias("k"), F.col("end_s").alias("g0"))
+    after = spans.select("clip_id", "k", F.col("start_s").alias("g1"))
+    out = marks.join(before, ["clip_id", "k"], "left").join(after, ["clip_id", "k"], "left").join(durations, "clip_id")
+    return out.select("clip_id", "label", "k", F.coalesce("g0", F.lit(0.0)).alias("g0"), F.coalesce("g1", "duration").alias("g1"))
+
+
 INLINE_LABELS = sorted(INLINE)

@@ -157,3 +157,30 @@ def annotated_sources(spark, sf_dir):
 def json_props_roundtrip(spark, sf_dir):
     e = t.read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("s"))
     return e.select("event_id", "s.k", F.to_json("s").alias("again"))
+
+
+@query(t.with_tables("fs") + " select clip_id, label, max(p) as p from fs group by all")
+def clip_maxima(spark, sf_dir):
+    return rp.clip_maxima(t.frame_scores(spark, sf_dir))
+
+
+@query("select case when n_chars / 1e2 > 30 then 'too_long' when doc_id % 11 = 0 then 'no_words' when doc_id % 7 = 0 then 'failed' when doc_id % 100 / 1e2 < 35e-2 then 'poor' else 'located' end as outcome, count(*) as n from documents group by all")
+def alignment_outcomes(spark, sf_dir):
+    i = F.col("doc_id")
+    d = t.read(spark, sf_dir, "documents").select((F.col("n_chars") / F.lit(100.0)).alias("duration"), F.when(i % 7 != 0, i % 100 / F.lit(100.0)).alias("score"), F.when(i % 11 == 0, 0).otherwise(5).alias("n_words"))
+    return rp.alignment_outcomes(d)
+
+
+@query("with k as (select distinct 'd' || cast(doc_id // 20 as varchar) as district, doc_id % 3 as q from documents) select district, q, case when q = 0 then 'skip' when xor(" + _CRC.format(s="district") + ", 4294967295) % 100 < 10 then case when q = 1 then 'val' else 'skip' end else 'train' end as split from k")
+def district_split(spark, sf_dir):
+    d = t.read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 20).cast("string")).alias("district"), (F.col("doc_id") % 3).alias("q")).distinct()
+    quality = F.when(F.col("q") == 0, "no_timestamps").when(F.col("q") == 1, "verified_timestamps").otherwise("unverified")
+    return d.select("district", "q", sp.district_split(F.col("district"), quality).alias("split"))
+
+
+@query("select event_id, user_id from events where not exists (select 1 from customer where c_custkey = user_id and c_nationkey < 20) and not exists (select 1 from orders where o_custkey = user_id and o_totalprice > 300000)")
+def picked_groups_removed(spark, sf_dir):
+    e = t.read(spark, sf_dir, "events").select("event_id", "user_id")
+    a = t.read(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("user_id"))
+    b = t.read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("user_id"))
+    return e.join(a, "user_id", "left_anti").join(b, "user_id", "left_anti")

@@ -143,3 +143,19 @@ select id, round(case when b >= c then 0 else end_s + 3e-1 end, 6) as bed_s, rou
 def speech_beds(spark, sf_dir):
     e = ev.speech_bed(t.events(spark, sf_dir).withColumn("duration", F.lit(86400.0)))
     return e.select("id", F.round("bed_s", 6).alias("bed_s"), F.round("bed_e", 6).alias("bed_e"))
+
+
+@query("""with f as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end as fresh from events),
+g as (select *, sum(fresh) over (partition by user_id order by ts, fresh desc rows unbounded preceding) as s from f) select user_id, min(ts) as start_ts, count(*) as n from g group by user_id, s""")
+def session_gap_batch(spark, sf_dir):
+    e = t.read(spark, sf_dir, "events")
+    return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start_ts"), "n")
+
+
+@query("""with e as (select event_type, value, epoch_us(ts) as us from events), w as (select event_type, value, (us // 7200000000 - k) * 7200000000 as start_us from e, range(4) r(k))
+select event_type, start_us, count(*) as n, round(sum(value), 2) as total from w group by all""")
+def sliding_window_avg(spark, sf_dir):
+    e = t.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = e.groupBy("event_type", F.window("ts", "8 hours", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    start = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', w.start) * 1000000")
+    return out.select("event_type", start.alias("start_us"), "n", "total")

@@ -128,3 +128,13 @@ def rich_transcript(spark, sf_dir):
 def recogniser_words(spark, sf_dir):
     raw = t.words(spark, sf_dir).withColumn("end_s", F.when(F.col("pos") % 5 != 0, F.col("end_s")))
     return tr.words_from_recogniser(raw).select("clip_id", "pos", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+
+
+@query(t.with_tables("words") + """, sp as (select clip_id, pos, pos * 4e-1 as s, pos * 4e-1 + 3e-1 as e from words), d as (select clip_id, max(e) + 1e0 as duration from sp group by clip_id),
+m as (select clip_id, 'cough' as label, pos as k from words where pos % 6 = 0 union all select clip_id, 'sigh', count(*) from words group by clip_id)
+select m.clip_id, m.label, m.k, round(coalesce(a.e, 0e0), 6) as g0, round(coalesce(b.s, d.duration), 6) as g1 from m join d using (clip_id) left join sp a on a.clip_id = m.clip_id and a.pos = m.k - 1 left join sp b on b.clip_id = m.clip_id and b.pos = m.k""")
+def event_placement(spark, sf_dir):
+    w = t.words(spark, sf_dir).withColumn("start_s", F.col("pos") * F.lit(0.4)).withColumn("end_s", F.col("pos") * F.lit(0.4) + 0.3)
+    durations = w.groupBy("clip_id").agg((F.max("end_s") + 1.0).alias("duration"))
+    marks = w.where("pos % 6 = 0").select("clip_id", F.lit("cough").alias("label"), F.col("pos").cast("long").alias("k")).unionByName(w.groupBy("clip_id").agg(F.count(F.lit(1)).alias("k")).select("clip_id", F.lit("sigh").alias("label"), "k"))
+    return tr.placed_between(w, marks, durations).withColumn("g0", F.round("g0", 6)).withColumn("g1", F.round("g1", 6))
