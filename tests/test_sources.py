@@ -116,6 +116,13 @@ def test_kernels():
     assert dsp.spec_augmented(mel, rng).shape == mel.shape and dsp.babble([tone], 100, rng).shape == (100,)
 
 
+def test_composed_windows():
+    x = np.full(16_000 * 3, 0.1, np.float32)
+    out, events = dsp.composed([(x, [("horn", 0.5, 1.0)])] * 4, (1, 1))
+    assert len(out) == 128_000 and [e[1:] for e in events] == [(0.5, 1.0), (3.5, 4.0), (6.5, 7.0)]
+    assert out[0] == 0 and abs(out[48_000]) < 1e-6 and 0.04 < out[24_000] < 0.21
+
+
 def test_word_spans():
     frames = np.full((12, 4), -5.0)
     for f, token in enumerate([0, 1, 1, 0, 2, 0, 0, 3, 3, 3, 0, 0]):

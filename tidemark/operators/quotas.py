@@ -67,3 +67,8 @@ def top_groups(clips: DataFrame, group: list[str], picked: DataFrame, n: int) ->
 
 def head_of(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     return first_n(rows, keys, order, F.lit(n), F.lit(True))
+
+
+def copies(rows: DataFrame, more: int) -> DataFrame:
+    """rows plus copy: each row as itself (copy 0) and more times again, to be augmented under the seed (row, copy)."""
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(more))))
