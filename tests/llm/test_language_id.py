@@ -44,6 +44,10 @@ def test_held_out_accuracy(spark, sf):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
 
 
+def test_only_letters_make_words():
+    assert li.words_of_text("² Ⅷ 12 _ ! ½") == {} and li.words_of_text("x² É") == {"_x²": 1, "_é": 1}
+
+
 def test_cases(spark):
     got = {r.doc_id: r for r in li.identify(documents(spark)).collect()}
     assert len(got) == len(TEXTS) + 2

@@ -137,9 +137,14 @@ class Scorer:
 
 
 def words_of_text(text: str) -> Counter:
-    """Counts of the text's lower-cased letter runs, each marked at its start and cut after WORD characters."""
+    """Counts of the text's lower-cased letter runs, each marked at its start and cut after WORD characters.
+
+    Runs of other numerals (superscripts, Roman numerals) hold no letter and do not count.
+    """
     out = Counter()
     for w, n in Counter(LETTERS.findall(text.lower())).items():
+        if not w.isalpha() and not any(map(str.isalpha, w)):
+            continue
         for a in range(0, len(w), WORD):
             out["_" + w[a:a + WORD]] += n
     return out
