@@ -55,7 +55,8 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     Null URLs and URLs without ``://`` have empty hosts and paths, match no rule
     and get the default.  An empty path starts with no rule's path.  Equal URLs
     are judged once; of rules with the same host and path, block wins.  Columns
-    of pages with these four names are replaced.
+    of pages with these four names are replaced; names that start with an
+    underscore are this function's own.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("host"), "path").where("host is not null and path is not null")
@@ -67,6 +68,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     found = urls.where((F.col("host") != "") & F.lit(deepest["_hosts"] > 0)).select("_url", F.explode(_suffixes(F.col("host"), F.lit(deepest["_hosts"]))).alias("_suffix"), _prefixes(F.col("path"), F.lit(deepest["_paths"])).alias("_prefixes"))
     found = found.select("_url", F.explode("_prefixes").alias("_prefix"), "_suffix").select("_url", F.sha2(F.concat("_suffix", "_prefix"), 256).alias("_digest"))
     found = found.withColumn("_key", F.substring("_digest", 1, PREFIX_DIGITS)).join(rules, "_key").where("_digest = _rd")
-    best = found.groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "_rv")).alias("best"))
-    out = pages.select(*kept).withColumn("_url", F.col(url)).join(best, "_url", "left")
-    return out.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best._rv", F.lit(default)).alias("verdict"))
+    best = found.groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "_rv")).alias("_best")).withColumnRenamed("_url", "_judged")
+    rows = pages.select(*kept)
+    out = rows.join(best, rows[url] == best["_judged"], "left")
+    return out.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best._rv", F.lit(default)).alias("verdict"))
