@@ -196,8 +196,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", examples: int
     found = materialize(rows.mapInArrow(find, "doc_id long, held_out boolean, ids array<int>, counts array<int>"), "toxicity-terms")
     n_docs = found.count()
     idf = np.full(len(terms), math.log(n_docs + 1) + 1)
-    for r in found.select(F.explode("ids").alias("t")).groupBy("t").count().collect():
-        idf[r["t"]] = math.log((n_docs + 1) / (r["count"] + 1)) + 1
+    for r in _document_frequencies(found, len(terms)).collect():
+        idf[r["t"]] = math.log((n_docs + 1) / (r["n"] + 1)) + 1
 
     learnt = sampled.select("doc_id", "toxic", "text").mapInArrow(find, "doc_id long, toxic int, ids array<int>, counts array<int>").orderBy("doc_id").collect()
     voter = fit(learnt, idf)
@@ -212,6 +212,19 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", examples: int
     return found.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int, evidence string")
 
 
+def _document_frequencies(found: DataFrame, n_terms: int) -> DataFrame:
+    """(t, n): in how many documents each term stands; counted within each task first, so a task sends a row a term at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_terms, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy(), minlength=n_terms)
+        t = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n[t], pa.int64())], ["t", "n"])
+
+    return found.select("ids").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def _found(text: str, number: dict[str, int]) -> dict[int, int]:
     """Counts of the numbered terms of a text: what terms_of gives, without the others."""
     out: dict[int, int] = {}
