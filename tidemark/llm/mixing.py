@@ -81,7 +81,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, block: int = BLOCK, shar
     sizes = rows.groupBy(*key).agg(F.sum("size").alias("source_size"))
     sizes = sizes.withColumn("weight", source_weight(F.row_number().over(Window.orderBy(*key))).cast("double"))
     sizes = targets(sizes.withColumn("source", F.struct(*key)), repeats).drop("source")
-    sizes = sizes.withColumn("n_shards", F.ceil((F.col("source_size") + 1) / shard_words).cast("int"))
+    # written out, so that its size is known before the rows are joined: small tables are then broadcast and no row is dealt by its source
+    sizes = materialize(sizes.withColumn("n_shards", F.ceil((F.col("source_size") + 1) / shard_words).cast("int")), "mixing-sources")
 
     rows = rows.join(sizes, key).withColumn("shard", F.pmod("_seeded", F.col("n_shards")).cast("int"))
     shards = rows.groupBy(*key, "shard", "source_size", "target").agg(F.sum("size").alias("_words"))
