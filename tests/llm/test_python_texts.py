@@ -48,6 +48,16 @@ def test_random_strings(spark):
     assert secrets.redact(f"see {key}.", [(4, 3, 44)]) == "see [secret]."
 
 
+def test_keys_without_digits_are_random_and_words_are_not():
+    v, rng = secrets.default_vocabulary(), random.Random(7)
+    for letters, least in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.99), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.97), ("abcdefghijklmnopqrstuvwxyz", 0.85)):
+        keys = ["".join(rng.choice(letters) for _ in range(20)) for _ in range(500)]
+        assert np.mean([secrets.random_string(k, v) for k in keys]) > least
+        assert np.mean([secrets.scan(f"see {k}12 here", v)[1] == [(4, 3, 26)] for k in keys]) > least
+    for s in ("INTERNATIONALIZATION_OF_DOCUMENTS", "Donaudampfschifffahrtsgesellschaft", "MAX_HTTP_URL_LEN_IN_KB_PER_MS", "a-b-c-d-e-f-g-h-i-j-k-l", "-" * 30, "x" * 30, "local/lib/IOUtils/site-packages", "getXByIdOrNullIfNoX_andSoOn"):
+        assert not secrets.random_string(s, v), s
+
+
 def test_redacted_keeps_columns(spark):
     out = secrets.find_secrets(documents(spark), redacted=True)
     assert out.columns[:6] == documents(spark).columns

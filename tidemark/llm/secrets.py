@@ -2,9 +2,10 @@
 
 A byte-pair vocabulary merges what is frequent, so words and identifiers have
 many characters per token and keys, passwords and other random strings few.
-Runs of key characters are measured in that way; known digests and identifiers
-(plain hexadecimal of digest length, UUIDs, words, paths, numbers) are excluded
-first.  Texts are scanned a batch at a time in Python: the vocabulary exists
+Runs of key characters are measured in that way, with digits or without; known
+digests and identifiers (plain hexadecimal of digest length, UUIDs, numbers) are
+excluded first, and of runs made of word parts only the letters are measured, so
+that separators and version numbers do not count against words.  Texts are scanned a batch at a time in Python: the vocabulary exists
 only there.
 """
 
@@ -30,6 +31,9 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+#: A part of a run made of word parts, and the letters of such a run that are long enough to tell.
+PART = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8}|[a-z]+[0-9]{1,4}")
+LETTERS = re.compile(r"[A-Za-z]{4,}")
 #: Characters per token below which a candidate counts as random, and how much of the candidate is read: all of it.
 RATIO = 2.0
 
@@ -52,18 +56,25 @@ def default_vocabulary() -> str:
 
 
 def identifier(s: str) -> bool:
-    """True for known digests and identifiers: digests in hexadecimal, UUIDs, numbers, and strings whose parts are words."""
+    """True for known digests and identifiers: digests in hexadecimal, UUIDs and numbers."""
     if UUID.fullmatch(s) or re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) and len(s) in DIGEST_LENGTHS:
         return True
-    classes = (re.search("[a-z]", s) is not None) + (re.search("[A-Z]", s) is not None) + (re.search("[0-9]", s) is not None)
-    if classes < 2 or not re.search("[0-9]", s):
-        return True
-    return all(re.fullmatch(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8}|[a-z]+[0-9]{1,4}", p) for p in re.split(r"[+/_=-]+|(?<=[a-z])(?=[A-Z])", s))
+    return not re.search("[A-Za-z]", s)
+
+
+def measured(s: str) -> list[str]:
+    """What is measured of a candidate: its letters if it has no digit or its parts look like words, else all of it."""
+    if not re.search("[0-9]", s) or all(map(PART.fullmatch, re.split(r"[+/_=-]+|(?<=[a-z])(?=[A-Z])", s))):
+        return LETTERS.findall(s)
+    return [s]
 
 
 def random_string(s: str, vocabulary: str, ratio: float = RATIO) -> bool:
     """The token-efficiency test of one candidate."""
-    return not identifier(s) and len(s) < ratio * len(encoding(vocabulary).encode_ordinary(s))
+    if identifier(s):
+        return False
+    parts, encode = measured(s), encoding(vocabulary).encode_ordinary
+    return sum(map(len, parts)) < ratio * sum(len(encode(p)) for p in parts)
 
 
 def scan(text: str, vocabulary: str, ratio: float = RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
