@@ -46,3 +46,16 @@ def test_cases(spark):
     assert len(tx.score(documents(spark), labels).collect()) == len(TEXTS) + 5
     assert {r.score for r in tx.score(documents(spark), labels.limit(0)).collect()} == {0.1}
     assert tx.score(empty(spark), labels).count() == 0
+
+
+def test_rare_toxic_words_and_plain_texts_are_judged(spark):
+    clean = [f"calm number{i % 50} evening{i % 7} walk along the river{i % 11}" for i in range(3000)]
+    toxic = [f"moron{i} scoundrel{i % 3} calm evening{i % 7} walk" for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 3000)) for i in range(3006)], "doc_id long, quality int, toxic int")
+    drawn, stands_for = tx.sample(docs, labels, "text", 100)
+    own = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(3000, 3006))
+    assert sorted(r.toxic for r in drawn.collect()) == [0] * (100 - own) + [1] * own and stands_for[1] == 1 < stands_for[0]
+    got = tx.score(docs, labels).collect()
+    assert all(r.evidence for r in got) and len({r.score for r in got}) > 1
+    assert min(r.score for r in got if r.doc_id >= 3000 and not r.held_out) > max(r.score for r in got if r.doc_id < 3000)

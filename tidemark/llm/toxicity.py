@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and word beginnings.  A bounded sample of labelled documents
-(EXAMPLES) chooses at most TERMS terms by their association with the label and
-becomes the index; document frequencies come from all documents.  The index is
-an inverted one whose postings lie in blocks of BLOCK examples with the largest
-weight of each term in each block.  A query visits blocks by falling upper
-bound and stops where no block can enter its nearest: the result is exact.
-Neighbours vote with their cosines as weights; a logistic curve, fitted on
-sampled documents outside the index, turns votes and the weight of the terms
-that a text has into probabilities.
+(EXAMPLES), drawn by label so that a rare one is not lost, becomes the index
+with all its terms; document frequencies come from all documents.  TF-IDF
+weights are multiplied by a term's association with the label (the phi
+coefficient in the sample, plus FLOOR), so telling terms lead and no term is
+left out.  The index is an inverted one: a query sums the postings of all its
+terms, so the nearest are exact.  Neighbours vote with their cosines as weights;
+a logistic curve, fitted on sampled documents outside the index and weighted by
+the labels' shares among all training labels, turns votes and the weight of the
+text's terms into probabilities.
 """
 
 from __future__ import annotations
@@ -17,19 +18,21 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from heapq import heappush, heapreplace
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: At most so many labelled documents, terms; least documents of a term in the sample and its least chi-square.
-EXAMPLES, TERMS, LEAST_DOCS, LEAST_CHI = 10_000, 1_000, 5, 40.0
+#: At most so many labelled documents; what every term's association is raised by.
+EXAMPLES, FLOOR = 10_000, 0.01
+#: Parts that document frequencies are summed in.
+PARTS = 64
+#: Terms in more than one of so many examples are summed by matrix products, texts judged at once.
+COMMON, TOGETHER = 16, 256
 #: Neighbours that vote, examples in a block, lengths of word beginnings.
 NEAREST, BLOCK, STEMS = 15, 64, (4, 5, 6)
 #: Weight of the sample's share of toxic documents in a vote.
@@ -51,178 +54,234 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def _pair(vector) -> tuple[np.ndarray, np.ndarray]:
+    """A vector as (terms, weights); it may be a dict."""
+    return (np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))) if isinstance(vector, dict) else vector
+
+
 class Index:
-    """Examples as unit vectors in an inverted index with block maxima."""
-
-    def __init__(self, vectors: list[dict[int, float]], marks: list, n_terms: int, block: int = BLOCK):
-        """vectors: term to weight, of length 1; marks: what identifies each, (doc_id, label)."""
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), -max(vectors[i].values()), i))
-        self.marks, self.block = [marks[i] for i in order], block
-        self.n_blocks = -(-len(order) // block)
-        self.top = np.zeros((n_terms, self.n_blocks))
-        lists: dict[int, tuple[list, list]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                ids, weights = lists.setdefault(t, ([], []))
-                ids.append(at)
-                weights.append(w)
-                self.top[t, at // block] = max(self.top[t, at // block], w)
-        edges = np.arange(self.n_blocks + 1) * block
-        self.lists = {t: (np.array(i), np.array(w), np.searchsorted(i, edges)) for t, (i, w) in lists.items()}
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+    """Examples as unit vectors in an inverted index; terms that stand in more than a COMMON-th of them are rows of a matrix."""
+
+    def __init__(self, vectors: list, marks: list, n_terms: int, block: int = BLOCK):
+        """vectors: term to weight, of length 1, as dicts or (terms, weights); marks: what identifies each, (doc_id, label)."""
+        pairs = [_pair(v) for v in vectors]
+        self.marks, self.block, self.n_blocks = list(marks), block, -(-len(pairs) // block)
+        terms = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.int64)
+        order = np.argsort(terms, kind="stable")
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
+        self.ids = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])[order]
+        self.weights = (np.concatenate([w for _, w in pairs]) if pairs else np.zeros(0))[order].astype(np.float32).astype(float)
+        self._spread(n_terms)
+
+    def _spread(self, n_terms: int):
+        """Makes the common terms' matrix."""
+        common = np.flatnonzero(np.diff(self.at) * COMMON > len(self.marks))
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n_blocks * self.block))
+        for k, t in enumerate(common.tolist()):
+            self.rows[k, self.ids[self.at[t]:self.at[t + 1]]] = self.weights[self.at[t]:self.at[t + 1]]
+
+    def __getstate__(self):
+        """What the executors are sent: the postings in narrow numbers (the weights have single precision), without the matrix."""
+        return self.marks, self.block, self.at, self.ids.astype(np.min_scalar_type(len(self.marks))), self.weights.astype(np.float32)
+
+    def __setstate__(self, state):
+        self.marks, self.block, self.at, ids, weights = state
+        self.n_blocks, self.ids, self.weights = -(-len(self.marks) // self.block), ids.astype(np.int64), weights.astype(float)
+        self._spread(len(self.at) - 1)
+
+    def nearest(self, query, k: int) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, (cosine, position), largest first; ties go to the smaller position."""
-        known = [(t, w) for t, w in query.items() if t in self.lists]
-        if not known:
-            return []
-        bounds = np.array([w for _, w in known]) @ self.top[[t for t, _ in known]]
-        heap: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(heap) == k and bounds[b] < heap[0][0] - 1e-12:
-                break
-            sums = np.zeros(self.block)
-            for t, w in known:
-                ids, weights, at = self.lists[t]
-                i, j = at[b], at[b + 1]
-                if i < j:
-                    sums[ids[i:j] - b * self.block] += w * weights[i:j]
-            for at in np.flatnonzero(sums).tolist():
-                item = (float(sums[at]), -(b * self.block + at))
-                if len(heap) < k:
-                    heappush(heap, item)
-                elif item > heap[0]:
-                    heapreplace(heap, item)
-        return [(s, -at) for s, at in sorted(heap, reverse=True)]
+        return self.nearest_of_each([query], k)[0]
+
+    def nearest_of_each(self, queries: list, k: int) -> list[list[tuple[float, int]]]:
+        """nearest for each of several queries."""
+        if not self.n_blocks:
+            return [[] for _ in queries]
+        queries = [_pair(q) for q in queries]
+        common = np.zeros((len(queries), len(self.rows)))
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            common[i, row[row >= 0]] = weights[row >= 0]
+        out = []
+        for (terms, weights), sums in zip(queries, common @ self.rows):
+            rare = self.row[terms] < 0
+            spans = [(i, j, w) for i, j, w in zip(self.at[terms[rare]].tolist(), self.at[terms[rare] + 1].tolist(), weights[rare].tolist()) if i < j]
+            if spans:
+                sums += np.bincount(np.concatenate([self.ids[i:j] for i, j, _ in spans]), np.concatenate([self.weights[i:j] * w for i, j, w in spans]), len(sums))
+            # the k largest stand at or above the k-th largest of the blocks' maxima
+            least = np.partition(sums.reshape(self.n_blocks, self.block).max(1), -k)[-k] if k < self.n_blocks else 0.0
+            at = np.flatnonzero((sums >= least) & (sums > 0))
+            at = at[np.lexsort((at, -sums[at]))[:k]]
+            out.append(list(zip(sums[at].tolist(), at.tolist())))
+        return out
 
 
 class Voter:
     """Scores term vectors by their nearest examples."""
 
-    def __init__(self, index: Index, idf: np.ndarray, prior: float, none: float, curve: tuple[float, float, float]):
-        self.index, self.idf, self.prior, self.none, self.curve = index, idf, prior, none, curve
-        self.scored = lru_cache(maxsize=50_000)(self._scored)
-
-    def vector(self, ids, counts) -> tuple[dict[int, float], float]:
-        """(the unit vector of TF-IDF weights, its length before)."""
-        w = {t: (1 + math.log(n)) * self.idf[t] for t, n in zip(ids, counts)}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        return ({t: x / norm for t, x in w.items()} if norm else {}), norm
-
-    def vote(self, ids, counts) -> tuple[tuple[float, float] | None, list[tuple[float, int]]]:
-        """((the neighbours' vote, log of the query's weight) or None without neighbours, the neighbours)."""
-        query, norm = self.vector(ids, counts)
-        near = self.index.nearest(query, NEAREST)
-        if not near:
-            return None, near
-        weight = sum(s for s, _ in near)
-        return ((sum(s * self.index.marks[i][1] for s, i in near) + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT), math.log1p(norm)), near
-
-    def _scored(self, ids: tuple, counts: tuple) -> tuple[float, str]:
-        v, near = self.vote(ids, counts)
-        if v is None:
-            return self.none, ""
-        z = self.curve[0] * v[0] + self.curve[1] * v[1] + self.curve[2]
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), ",".join(f"{self.index.marks[i][0]}:{self.index.marks[i][1]}:{s:.3f}" for s, i in near[:3])
+    def __init__(self, index: Index, weights: np.ndarray, prior: float, none: float, curve: tuple[float, float, float]):
+        self.index, self.weights, self.prior, self.none, self.curve = index, weights, prior, none, curve
+
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+        """(the unit vector of weights, its length before)."""
+        w = (1 + np.log(counts)) * self.weights[ids]
+        norm = math.sqrt(w @ w)
+        return (ids, w / norm if norm else w), norm
+
+    def votes(self, found: list) -> list[tuple[tuple[float, float] | None, list[tuple[float, int]]]]:
+        """Of each text's (ids, counts): ((the neighbours' vote, log of the query's weight) or None without neighbours, the neighbours)."""
+        out = []
+        for a in range(0, len(found), TOGETHER):
+            queries = [self.vector(*x) for x in found[a:a + TOGETHER]]
+            for (_, norm), near in zip(queries, self.index.nearest_of_each([q for q, _ in queries], NEAREST)):
+                weight = sum(s for s, _ in near)
+                vote = (sum(s * self.index.marks[i][1] for s, i in near) + PRIOR_WEIGHT * self.prior) / (weight + PRIOR_WEIGHT)
+                out.append(((vote, math.log1p(norm)) if near else None, near))
+        return out
+
+    def scored(self, found: list) -> list[tuple[float, str]]:
+        out = []
+        for v, near in self.votes(found):
+            z = self.curve[0] * v[0] + self.curve[1] * v[1] + self.curve[2] if v else 0.0
+            evidence = ",".join(f"{self.index.marks[i][0]}:{self.index.marks[i][1]}:{s:.3f}" for s, i in near[:3])
+            out.append((1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) if v else self.none, evidence))
+        return out
 
 
 #: The curve where there is nothing to fit, and what a fit is drawn to.
 CURVE = (8.0, 0.5, -6.0)
 
 
-def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
-    """The logistic curve's weights of vote, log weight and 1, by Newton steps on the lightly penalised likelihood; rising with the vote."""
+def fit_curve(votes: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tuple[float, float, float]:
+    """The logistic curve's weights of vote, log weight and 1, by Newton steps on the lightly penalised likelihood; rising with the vote.  shares: how much each row counts."""
     x = np.column_stack([votes.reshape(-1, 2), np.ones(len(votes))])
     start = np.array(CURVE)
     w = start.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - labels) + 0.05 * (w - start)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), gradient)
+        gradient = x.T @ (shares * (p - labels)) + 0.05 * (w - start)
+        w = w - np.linalg.solve((x * (shares * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), gradient)
     return tuple(map(float, w)) if np.isfinite(w).all() and w[0] > 0 else CURVE
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str, examples: int) -> DataFrame:
-    """doc_id, toxic and text of at most examples labelled training documents, the smallest by hash."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = rows.withColumn("_h", F.xxhash64("doc_id", F.lit("toxicity"))).orderBy("_h", "doc_id").limit(examples).drop("_h")
+def sample(docs: DataFrame, labels: DataFrame, text: str, examples: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, toxic and text of at most examples labelled training documents, {0 or 1: how many labels a sampled one stands for}).
+
+    Half of them are toxic and half clean, or all of the rarer label and the rest of the other; of each the smallest by hash.
+    """
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sizes = {0: 0, 1: 0, **{r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}}
+    taken = {y: min(n, max(examples - examples // 2 if y else examples // 2, examples - sizes[1 - y])) for y, n in sizes.items()}
+    smallest = [rows.where(F.col("toxic") == y).withColumn("_h", F.xxhash64("doc_id", F.lit("toxicity"))).orderBy("_h", "doc_id").limit(n).drop("_h") for y, n in taken.items()]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most examples rows of two numbers
+    return texts.join(F.broadcast(smallest[0].unionByName(smallest[1])), "doc_id"), {y: sizes[y] / n if n else 1.0 for y, n in taken.items()}  # at most examples rows of two numbers
 
 
-def choose_terms(sampled: DataFrame, n_terms: int = TERMS) -> list[str]:
-    """The terms most associated with the label, by chi-square over the sample's documents."""
+def sample_terms(sampled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(all terms of the sample's documents, their association with the label: the phi coefficient, and FLOOR)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = (Counter(), Counter())
         for b in batches:
-            by = (Counter(), Counter())
-            for t, y in zip(b["text"], b["toxic"]):
-                by[int(y > 0)].update(terms_of(t).keys())
-            yield pd.DataFrame([(w, by[0][w], by[1][w]) for w in by[0].keys() | by[1].keys()], columns=["term", "clean", "toxic"])
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by[y].update(terms_of(t).keys())
+        terms = list(by[0].keys() | by[1].keys())
+        for a in range(0, len(terms), 10_000):
+            part = terms[a:a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[w] for w in part], pa.int64()) for c in by)], ["term", "clean", "toxic"])
 
     sizes = sampled.agg(F.count_if(F.col("toxic") <= 0).alias("c"), F.count_if(F.col("toxic") > 0).alias("t")).first()
     c, t = float(sizes["c"]), float(sizes["t"])
-    if not c or not t:
-        return []
-    counts = sampled.select("text", "toxic").mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("x"), F.sum("toxic").alias("y")).where(F.col("x") + F.col("y") >= LEAST_DOCS)
-    x, y, n = F.col("x"), F.col("y"), c + t
-    chi = n * F.pow(y * (c - x) - x * (t - y), F.lit(2.0)) / ((x + y) * (n - x - y + F.lit(1e-9)) * c * t)
-    rows = counts.withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(n_terms).collect()
-    return [r["term"] for r in rows]
+    counts = sampled.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("x"), F.sum("toxic").alias("y")).toArrow().sort_by("term")
+    x, y = counts["x"].to_numpy().astype(float), counts["y"].to_numpy().astype(float)
+    phi = np.abs(y * (c - x) - x * (t - y)) / np.sqrt(np.maximum((x + y) * (c + t - x - y), 1.0) * c * t) if c and t else np.zeros(len(x))
+    return counts["term"].to_pylist(), phi + FLOOR
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", examples: int = EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of every row.
 
     evidence lists the three nearest examples as doc_id:label:cosine.  A text
-    with none of the terms (an empty one, say) has no neighbour and gets the
-    sample's share of toxic ones among such texts.  Without labelled training
-    documents every score is 0.1.
+    with no term of the sample (an empty one, say) has no neighbour and gets the
+    share of toxic ones among such texts.  Without labelled training documents
+    every score is 0.1.
     """
     spark = docs.sparkSession
-    sampled = materialize(sample(docs, labels, text, examples), "toxicity-sample")
-    terms = choose_terms(sampled)
-    number = {t: i for i, t in enumerate(terms)}
+    drawn, stands_for = sample(docs, labels, text, examples)
+    sampled = materialize(drawn, "toxicity-sample")
+    terms, association = sample_terms(sampled)
+    numbers = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # bounded by examples
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col(text).cast("string").alias("text"))
+    n_docs = rows.count()
+    frequencies = np.zeros(len(terms))
+    for r in _document_frequencies(rows, numbers, len(terms)).collect():
+        n = np.frombuffer(r["n"], "<i8")
+        frequencies[r["part"] * _width(len(terms)):][:len(n)] = n
+    weights = association * (np.log((n_docs + 1) / (frequencies + 1)) + 1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(numbers.value)
         for b in batches:
-            ids, counts = [], []
-            for t in b.column("text").to_pylist():
-                found = _found(t, number) if t and number else {}
-                ids.append(sorted(found))
-                counts.append([found[i] for i in ids[-1]])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [*(c for c in b.schema.names if c != "text"), "ids", "counts"])
+            found = [finder.find(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in range(2))], ["doc_id", "toxic", "ids", "counts"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col(text).cast("string").alias("text"))
-    found = materialize(rows.mapInArrow(find, "doc_id long, held_out boolean, ids array<int>, counts array<int>"), "toxicity-terms")
-    n_docs = found.count()
-    idf = np.full(len(terms), math.log(n_docs + 1) + 1)
-    for r in _document_frequencies(found, len(terms)).collect():
-        idf[r["t"]] = math.log((n_docs + 1) / (r["n"] + 1)) + 1
-
-    learnt = sampled.select("doc_id", "toxic", "text").mapInArrow(find, "doc_id long, toxic int, ids array<int>, counts array<int>").orderBy("doc_id").collect()
-    voter = fit(learnt, idf)
-    model = spark.sparkContext.broadcast(voter)  # bounded by examples and terms
+    learnt = sampled.select("doc_id", "toxic", "text").mapInArrow(find, "doc_id long, toxic int, ids binary, counts binary").orderBy("doc_id").collect()
+    model = spark.sparkContext.broadcast(fit(learnt, weights, stands_for))  # bounded by examples
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own, finder = model.value, Finder(numbers.value)
         for b in batches:
-            out = [own.scored(tuple(i), tuple(c)) for i, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            out = own.scored([finder.find(t) for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in out], pa.float64()), pa.array([int(s >= 0.5) for s, _ in out], pa.int32()), pa.array([e for _, e in out], pa.string())], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return found.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int, evidence string")
+    return rows.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int, evidence string")
+
+
+class Finder:
+    """Finds the numbered terms of texts; what it knows of words is kept for the texts that follow."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number, self.known = number, {}
+
+    def find(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(the terms' numbers, rising, and their counts)."""
+        words = Counter(LETTERS.findall(text.lower())) if text and self.number else {}
+        if len(self.known) > 300_000:
+            self.known.clear()
+        known = self.known
+        for w in words:
+            if w not in known:
+                known[w] = tuple(_found(w, self.number))
+        lists = [known[w] for w in words]
+        flat = np.fromiter(chain.from_iterable(lists), np.int64)
+        ids, at = np.unique(flat, return_inverse=True)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in lists]) if lists else np.zeros(0)
+        return ids, np.bincount(at, times, len(ids))
 
 
-def _document_frequencies(found: DataFrame, n_terms: int) -> DataFrame:
-    """(t, n): in how many documents each term stands; counted within each task first, so a task sends a row a term at most."""
+def _width(n_terms: int) -> int:
+    return max(1, -(-n_terms // PARTS))
+
+
+def _document_frequencies(rows: DataFrame, numbers, n_terms: int) -> DataFrame:
+    """(part, n): in how many documents each term stands, as PARTS arrays of numbers; counted within each task first, so a task sends PARTS rows at most."""
+    width = _width(n_terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(n_terms, np.int64)
+        n, finder = np.zeros(n_terms, "<i8"), Finder(numbers.value)
         for b in batches:
-            n += np.bincount(b.column(0).flatten().to_numpy(), minlength=n_terms)
-        t = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(n[t], pa.int64())], ["t", "n"])
+            for t in b.column(0).to_pylist():
+                n[finder.find(t)[0]] += 1
+        parts = [k for k in range(PARTS) if n[k * width:(k + 1) * width].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([n[k * width:(k + 1) * width].tobytes() for k in parts], pa.binary())], ["part", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, "<i8") for x in group["n"].to_pylist())
+        return pa.table({"part": group["part"].slice(0, 1).cast(pa.int32()), "n": pa.array([n.astype("<i8").tobytes()], pa.binary())})
 
-    return found.select("ids").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
 
 
 def _found(text: str, number: dict[str, int]) -> dict[int, int]:
@@ -237,29 +296,25 @@ def _found(text: str, number: dict[str, int]) -> dict[int, int]:
     return out
 
 
-class _Picklable(Voter):
-    """A voter that leaves its cache behind when it is sent to the executors."""
+def fit(rows: list, weights: np.ndarray, stands_for: dict[int, float]) -> Voter:
+    """A voter from sampled rows (doc_id, toxic, ids, counts): every fifth of a label with terms calibrates, the others are the index."""
+    rows = [(r[0], int(r[1] > 0), np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in rows]
 
-    def __getstate__(self):
-        return (self.index, self.idf, self.prior, self.none, self.curve)
+    def share(some: list) -> float:
+        return (sum(stands_for[1] for r in some if r[1]) + 0.1) / (sum(stands_for[r[1]] for r in some) + 1)
 
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-
-def fit(rows: list, idf: np.ndarray) -> Voter:
-    """A voter from sampled rows (doc_id, toxic, ids, counts): every fifth with terms calibrates, the others are the index."""
-    rows = [r if isinstance(r, tuple) else tuple(r) for r in rows]
-    toxic = sum(int(r[1] > 0) for r in rows)
-    prior = (toxic + 0.1) / (len(rows) + 1)
-    bare = [int(r[1] > 0) for r in rows if not r[2]]
-    none = (sum(bare) + 0.1) / (len(bare) + 1)
-    having = [r for r in rows if r[2]]
-    kept, tried = [r for k, r in enumerate(having) if k % 5], having[::5]
+    none = share([r for r in rows if not len(r[2])])
+    kept, tried = [], []
+    for y in (0, 1):
+        having = [r for r in rows if len(r[2]) and r[1] == y]
+        kept += [r for k, r in enumerate(having) if k % 5]
+        tried += having[::5]
     if len(kept) < 50:
-        kept, tried = having, []
-    blank = _Picklable(None, idf, prior, none, CURVE)
-    blank.index = Index([blank.vector(r[2], r[3])[0] for r in kept], [(r[0], int(r[1] > 0)) for r in kept], len(idf))
-    votes = [(v, int(r[1] > 0)) for r in tried if (v := blank.vote(r[2], r[3])[0]) is not None]
-    curve = fit_curve(np.array([v for v, _ in votes]), np.array([y for _, y in votes], float)) if votes else CURVE
-    return _Picklable(blank.index, idf, prior, none, curve)
+        kept, tried = kept + tried, []
+    blank = Voter(None, weights, share(rows), none, CURVE)
+    blank.index = Index([blank.vector(r[2], r[3])[0] for r in kept], [r[:2] for r in kept], len(weights))
+    votes = [(v, r[1], stands_for[r[1]]) for r, (v, _) in zip(tried, blank.votes([r[2:] for r in tried])) if v is not None]
+    if not votes:
+        return blank
+    shares = np.array([n for _, _, n in votes])
+    return Voter(blank.index, weights, blank.prior, none, fit_curve(np.array([v for v, _, _ in votes]), np.array([y for _, y, _ in votes], float), shares * len(shares) / shares.sum()))
