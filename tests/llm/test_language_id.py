@@ -55,3 +55,8 @@ def test_cases(spark):
     assert li.identify(empty(spark)).count() == 0
     unlabelled = documents(spark).drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert {r.lang_pred for r in li.identify(unlabelled).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(k * 40 + i, "some words", f"l{k:02}") for k in range(70) for i in range(40)], "doc_id long, text string, lang string")
+    assert sorted(li.training_counts(docs)) == [f"l{k:02}" for k in range(70)]

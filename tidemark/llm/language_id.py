@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: About how many documents of each language train it, at most how many languages and words of one language, rounds of learning, and pseudo-counts.
-EXAMPLES, LANGUAGES, WORDS, ROUNDS, SMOOTHING = 300, 64, 40_000, 2, 0.1
+#: About how many documents of each language train it, at most how many words of one language, rounds of learning, and pseudo-counts.
+EXAMPLES, WORDS, ROUNDS, SMOOTHING = 300, 40_000, 2, 0.1
 #: Longest piece and longest stretch of letters summed at once; a longer one is cut there.
 PIECE, WORD = 12, 48
 #: Probability of a character outside the vocabulary, in every language.
@@ -195,16 +195,15 @@ def training_counts(docs: DataFrame, text: str = "text", examples: int = EXAMPLE
     """Word counts by language over about examples labelled training documents of each language, chosen by hash.
 
     Reads lang and doc_id of all documents and the chosen documents' whole texts;
-    brings at most LANGUAGES * WORDS counts to the driver, the most frequent words first.
+    brings at most WORDS counts a language to the driver, the most frequent words first.
     """
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counted = rows.groupBy("lang").count()
+    sizes = counted.collect()
     if not sizes:
         return {}
-    limit = F.lit(-1)
-    for r in sizes:
-        limit = F.when(F.col("lang") == r["lang"], int(min(1.0, examples / r["count"]) * (1 << 30))).otherwise(limit)
-    chosen = rows.where(F.col("_h") < limit).select("lang", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    limits = counted.select("lang", (F.least(F.lit(1.0), F.lit(examples) / F.col("count")) * (1 << 30)).cast("long").alias("_limit"))
+    chosen = rows.join(F.broadcast(limits), "lang").where(F.col("_h") < F.col("_limit")).select("lang", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))  # a row a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -232,7 +231,7 @@ def identify(docs: DataFrame, text: str = "text", vocabulary: str | None = None,
     pieces = pieces_of(vocabulary or default_vocabulary()) if counts else []
     probabilities = learn(pieces, counts).astype(np.float32) if counts else np.zeros((0, 0), np.float32)
     langs = list(counts)
-    model = docs.sparkSession.sparkContext.broadcast((pieces, probabilities))  # bounded by the vocabulary and LANGUAGES
+    model = docs.sparkSession.sparkContext.broadcast((pieces, probabilities))  # pieces by languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value[0], model.value[1].astype(np.float64)) if langs else None
