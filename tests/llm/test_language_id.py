@@ -60,3 +60,12 @@ def test_cases(spark):
 def test_every_language_is_learned(spark):
     docs = spark.createDataFrame([(k * 40 + i, "some words", f"l{k:02}") for k in range(70) for i in range(40)], "doc_id long, text string, lang string")
     assert sorted(li.training_counts(docs)) == [f"l{k:02}" for k in range(70)]
+
+
+def test_no_language_loses_its_words_to_another(spark):
+    letters = "abcdefghij"
+    many = " ".join("".join(letters[int(d)] for d in f"{i:06}") for i in range(90_000))
+    a, z = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    docs = spark.createDataFrame([(a, many, "aa"), (z, "five rare words stand here", "zz")], "doc_id long, text string, lang string")
+    got = li.training_counts(docs)
+    assert len(got["aa"]) == 90_000 and len(got["zz"]) == 5

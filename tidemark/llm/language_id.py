@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: About how many documents of each language train it, at most how many words of one language, rounds of learning, and pseudo-counts.
-EXAMPLES, WORDS, ROUNDS, SMOOTHING = 300, 40_000, 2, 0.1
+#: About how many documents of each language train it, rounds of learning, and pseudo-counts.
+EXAMPLES, ROUNDS, SMOOTHING = 300, 2, 0.1
 #: Longest piece and longest stretch of letters summed at once; a longer one is cut there.
 PIECE, WORD = 12, 48
 #: Probability of a character outside the vocabulary, in every language.
@@ -195,7 +195,7 @@ def training_counts(docs: DataFrame, text: str = "text", examples: int = EXAMPLE
     """Word counts by language over about examples labelled training documents of each language, chosen by hash.
 
     Reads lang and doc_id of all documents and the chosen documents' whole texts;
-    brings at most WORDS counts a language to the driver, the most frequent words first.
+    brings the word counts of these texts to the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)))
     counted = rows.groupBy("lang").count()
@@ -215,8 +215,9 @@ def training_counts(docs: DataFrame, text: str = "text", examples: int = EXAMPLE
 
     words = chosen.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     out: dict[str, dict[str, int]] = {r["lang"]: {} for r in sorted(sizes, key=lambda r: r["lang"])}
-    for r in words.orderBy(F.desc("n"), "lang", "word").limit(len(out) * WORDS).collect():
-        out[r["lang"]][r["word"]] = r["n"]
+    found = words.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    for lang, word, n in zip(*(found[c].to_pylist() for c in ("lang", "word", "n"))):
+        out[lang][word] = n
     return out
 
 
