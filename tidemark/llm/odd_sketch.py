@@ -233,7 +233,7 @@ def pivot_links(docs: DataFrame, pairs: DataFrame, text: str, size: int, thresho
     """(a, b): the pairs (node, pivot) whose full sets are linked."""
     group = ["pivot", "g", "h"]
     items = pairs.select(*group, "node", F.lit(1).alias("role")).unionByName(pairs.select(*group).distinct().select(*group, F.col("pivot").alias("node"), F.lit(0).alias("role")))
-    rows = items.withColumn("doc_id", _doc_of(F.col("node"))).join(_texts(docs, text), "doc_id").repartition(_tasks(docs), *group).sortWithinPartitions(*group, "role", "node").select(*group, "role", "node", "text")
+    rows = items.withColumn("doc_id", _doc_of(F.col("node"))).join(_texts(docs, text), "doc_id").repartition(*group).sortWithinPartitions(*group, "role", "node").select(*group, "role", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, base, last = None, None, None
@@ -263,10 +263,6 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _tasks(df: DataFrame) -> int:
-    return 4 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
     """rows (node, root and others) of groups with several roots, with own, x and y: the group's tasks are its pairs of blocks (x, y).
 
@@ -289,7 +285,7 @@ def families(members: DataFrame, threshold: float) -> DataFrame:
     """(a, b): spanning stars of the members (key, node, n_shingles, sketch, root) of other roots that share a bucket and whose sketches may reach the threshold."""
     group = ["key", "x", "y"]
     rows = dealt(members, "key", BUCKET_BLOCK).withColumn("r", F.xxhash64("root"))
-    rows = rows.repartition(_tasks(members), *group).sortWithinPartitions(*group, "node").select(*group, "own", "node", "n_shingles", "sketch", "r")
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "node").select(*group, "own", "node", "n_shingles", "sketch", "r")
     most, words = most_differing(threshold - MARGIN), BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,13 +325,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = spread_join(both, labels.select(F.col("node").alias("b"), "root"), "b", hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         fallen = materialize(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "labels")
+        if fallen.where("old != root").isEmpty():
+            discard(both, fallen)
+            return labels
         up = fallen.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = materialize(spread_join(fallen, up, "root", "left", heavy_keys(fallen, "root", total)).select("node", "old", F.coalesce("up", "root").alias("root")), "labels")
+        after = materialize(spread_join(fallen, up, "root", "left", heavy_keys(fallen, "root", total)).select("node", F.coalesce("up", "root").alias("root")), "labels")
         discard(labels, fallen)
         labels = after
-        if labels.where("old != root").isEmpty():
-            discard(both)
-            return labels.select("node", "root")
 
 
 def exact_links(sets: list[np.ndarray], threshold_percent: int) -> np.ndarray:
@@ -375,7 +371,7 @@ def confirmed(docs: DataFrame, members: DataFrame, text: str, size: int, thresho
     """(a, b): spanning stars of the exact links between members (node, family, root) of one family and different roots."""
     group = ["family", "x", "y"]
     rows = dealt(members, "family", FAMILY_BLOCK).withColumn("r", F.xxhash64("root")).withColumn("doc_id", _doc_of(F.col("node"))).join(_texts(docs, text), "doc_id")
-    rows = rows.repartition(_tasks(docs), *group).sortWithinPartitions(*group, "node").select(*group, "own", "node", "r", "text")
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "node").select(*group, "own", "node", "r", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in _grouped(batches, group):
@@ -414,10 +410,13 @@ def linked_rows(docs: DataFrame, text: str = "text", size: int = 5, threshold_pe
     left = materialize(members.where("m > 2").join(links, "node", "left").select("key", "node", "n_shingles", "sketch", root), "near-left")  # a pair has been compared
     family = components(families(left, threshold)).select("node", F.col("root").alias("family"))
     more = materialize(confirmed(docs, family.join(links, "node", "left").select("node", "family", root), text, size, threshold_percent), "near-more")
-    if not more.isEmpty():
-        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     found = materialize(nodes.select("node", "digest").join(links, "node", "left").select("digest", root), "near-found")
-    discard(nodes, members, pairs, left, more)
+    if not more.isEmpty():
+        of_a, of_b = (links.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        tops = components(more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        found = materialize(spread_join(found, tops, "root", "left", heavy_keys(found, "root")).select("digest", F.coalesce("top", "root").alias("root")), "near-found")
+    discard(nodes, members, pairs, left, more, links)
     rows = rows.select("doc_id", "text_hash", "n_shingles", "digest")
     return spread_join(rows, found, "digest", "left", heavy_keys(rows, "digest"))
 
