@@ -38,7 +38,7 @@ from .common import discard, free_names, heavy_keys, materialize, spread_join
 #: MinHash samples, bits of a sketch, samples of a band, and the chance to miss a pair at the threshold that decides the number of bands.
 SAMPLES, BITS, ROWS, MISS = 256, 512, 5, 1e-7
 #: How far an estimate may lie below the threshold (over five standard errors), and the sizes of blocks in buckets and families.
-MARGIN, BUCKET_BLOCK, FAMILY_BLOCK = 0.15, 2048, 512
+MARGIN, BUCKET_BLOCK, FAMILY_BLOCK = 0.15, 1024, 512
 #: Nodes of a bucket that one task compares with its pivot.
 PIVOT_GROUP = 256
 #: Columns of the exact product that are handled at once.
