@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import heapq
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -134,3 +136,37 @@ def test_mixing(spark, sf, which):
     again = mixing.mix(docs.repartition(3), ["doc_id", "source"]).collect()
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))
     assert mixing.mix(empty(spark)).count() == 0
+
+
+def by_heap(shares, capacities, seats):
+    """Highest quotients, a seat at a time; ties go to the first party."""
+    heap = [(-s, i, 0) for i, s in enumerate(shares) if s > 0 and capacities[i] > 0]
+    heapq.heapify(heap)
+    won = [0] * len(shares)
+    while heap and seats:
+        _, i, k = heapq.heappop(heap)
+        won[i] += 1
+        seats -= 1
+        if k + 1 < capacities[i]:
+            heapq.heappush(heap, (-shares[i] / (2 * k + 3), i, k + 1))
+    return won
+
+
+def test_quotas_are_those_of_a_heap(spark):
+    rng = random.Random(6)
+    cases = [([600.0] + [0.4] * 1000, [10**6] * 1001, 1000), ([600.0] + [0.6] * 1000, [10**6] * 1001, 1200), ([5.0, 3.0, 0.0], [2, 2, 9], 9), ([1.0] * 7, [3] * 7, 5), ([2.0], [4], 0)]
+    for _ in range(25):
+        n = rng.randrange(1, 12)
+        cases.append(([rng.choice([0.0, 1.0, 2.0, rng.random() * 50]) for _ in range(n)], [rng.randrange(0, 9) for _ in range(n)], rng.randrange(0, 40)))
+    rows = [(g, i, s, c, seats) for g, (shares, capacities, seats) in enumerate(cases) for i, (s, c) in enumerate(zip(shares, capacities))]
+    parties = spark.createDataFrame(rows, "g int, _order int, share double, capacity long, seats long")
+    got = {(r.g, r._order): r.quota for r in mixing.sainte_lague(parties, ["g"], "share", "capacity", "seats").collect()}
+    assert len(got) == len(rows)
+    for g, case in enumerate(cases):
+        assert [got[g, i] for i in range(len(case[0]))] == by_heap(*case), case
+
+
+def test_resample_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 9, "s", 7, 8, 9), (1, "d e f " * 9, "s", 7, 8, 9), (None, "g h " * 9, None, 7, 8, 9), (None, "i j " * 9, None, 7, 8, 9)], "doc_id long, text string, source string, _n int, doc int, doc2 int")
+    out = mixing.resample(docs)
+    assert out.columns == docs.columns and {r.text for r in out.collect()} <= {r.text for r in docs.collect()} and out.count() > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .quality_rules import ALPHA, DELTA, GRID, RULES
 
 _URL = r"""
@@ -50,4 +51,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 )
 
-SQL = {"op5_url_filter": _URL, "op7_quality_rules": _QUALITY}
+_MIXING = rf"""
+with d as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as size, md5('{mixing.SEED}:' || doc_id) as h from documents),
+src as (select source, sum(size)::bigint as source_size, count(*) as n_rows, (row_number() over (order by source nulls last) - 1) % 3 + 1e0 as weight from d group by source),
+lev as (select *, {mixing.REPEATS}e0 * source_size as cap, (sum(source_size) over () - coalesce(sum({mixing.REPEATS}e0 * source_size) over (o rows between unbounded preceding and 1 preceding), 0))
+  / sum(weight) over (o rows between current row and unbounded following) as y from src window o as (order by {mixing.REPEATS}e0 * source_size / weight, source nulls last)),
+tgt as (select source, source_size, coalesce(least(cap, weight * (select y from lev where y <= cap / weight order by cap / weight, source nulls last limit 1)), cap)::double as target,
+  greatest(ceil((source_size + 1) / {mixing.SHARD_WORDS}), ceil(n_rows / {mixing.SHARD_ROWS}))::bigint as n_shards from lev),
+rws as (select doc_id, d.source, size, h, source_size, target, ('0x' || substr(h, 1, 7))::bigint % n_shards as shard from d join tgt on d.source is not distinct from tgt.source),
+sh as (select source, source_size, target, shard, sum(size)::bigint as words, ceil(sum(size) / {mixing.BLOCK})::bigint as nb from rws group by all),
+bs as (select source, sum(nb)::bigint as blocks, case when source_size > 0 then target / source_size * sum(nb) else 0e0 end as share from sh group by source, source_size, target),
+seats as (select round(sum(round(share * 4096)) / 4096)::bigint as n from bs),
+q1 as (select source, row_number() over (order by share / (2 * k + 1) desc, source nulls last, k) as r from (select *, unnest(range({mixing.REPEATS} * blocks)) as k from bs where share > 0)),
+sq as (select source, count(*) as quota from q1 where r <= (select n from seats) group by source),
+q2 as (select s.source, shard, coalesce(sq.quota, 0) as seats, row_number() over (partition by s.source order by nb / (2 * k + 1) desc, shard, k) as r
+  from (select *, unnest(range({mixing.REPEATS} * nb)) as k from sh) s left join sq on s.source is not distinct from sq.source),
+quo as (select source, shard, count(*) as quota from q2 where r <= seats group by all),
+str as (select rws.*, words, greatest(nb, 1) as b, coalesce(quota, 0) as quota, sum(size) over (partition by rws.source, rws.shard order by h, size rows between unbounded preceding and current row) as e,
+  ('0x' || substr(md5('{mixing.SEED + 1}:' || (rws.source is null)::int || ':' || coalesce(rws.source, '') || ':' || rws.shard), 1, 7))::bigint % greatest(nb, 1) as f
+  from rws join sh on rws.source is not distinct from sh.source and rws.shard = sh.shard left join quo on rws.source is not distinct from quo.source and rws.shard = quo.shard),
+cut as (select *, e - size as s, quota % b as rest, floor(f * words / b) as a1, floor(least(f + quota % b, b) * words / b) as z1, floor(greatest(f + quota % b - b, 0) * words / b) as z2 from str)
+select doc_id, size::bigint as size, source_size, target, (floor(quota / b) * size + greatest(0, least(e, z1) - greatest(s, a1)) + greatest(0, least(e, z2) - s))::bigint as taken from cut
+"""
+
+SQL = {"op5_url_filter": _URL, "op7_quality_rules": _QUALITY, "op10_mixing": _MIXING}
