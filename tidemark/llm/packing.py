@@ -40,11 +40,14 @@ def encoder(name: str):
     The rank file of the vocabulary gives the same ids as its JSON form and is
     several times faster.  Its pattern has a look-ahead that only matters within
     runs of white space; texts without such runs take the pattern without it.
+    Texts that hold an added token of the JSON form are encoded by that.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -52,10 +55,19 @@ def encoder(name: str):
     exact = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     plain = tiktoken.Encoding(f"{name}-plain", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     runs = re.compile(r"\s\s").search
-    ends = np.zeros(max(ranks.values()) + 2, bool)
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return whole.encode(text, add_special_tokens=False).ids
+        return exact(text) if runs(text) else plain(text)
+
+    ends = np.zeros(max(max(ranks.values()) + 2, whole.get_vocab_size()), bool)
     for piece, i in ranks.items():
         ends[i] = piece.rstrip(b"\"')]").endswith((b".", b"!", b"?", b"\n"))
-    return (lambda text: exact(text) if runs(text) else plain(text)), ends
+    return encode, ends
 
 
 def candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, size: int = SIZE, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -156,13 +168,15 @@ class Packer:
 def pack(docs: DataFrame, text: str = "text", name: str = "byte_bpe_50k", size: int = SIZE, block: int = BLOCK_TOKENS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents are ordered by doc_id (null first; equal ids in any order) over
-    range partitions, each with its own sequences: sequence_id is the partition's
-    number times 2^40 and a count.  Null and empty texts are the end id alone.
+    Documents are ordered by doc_id (null first; equal ids by their texts'
+    hashes) over range partitions, each with its own sequences: sequence_id is
+    the partition's number times 2^40 and a count.  Null and empty texts are the
+    end id alone.  Other columns of docs are not read.
     """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -17,8 +17,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from .common import free_names
 
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=.-]+)""")
@@ -91,12 +96,12 @@ def scan(text: str, vocabulary: str, ratio: float = RATIO) -> tuple[list[tuple[i
     for r in runs:
         base += [(r.start() + m.start(), 2, r.start() + m.end()) for m in HEX.finditer(r[0]) if m.end() - m.start() >= 24]
     base.sort()
-    more, k = [], 0
-    ends = [b[2] for b in base]
+    more, k, reach = [], 0, 0
     for r in runs:
-        while k < len(base) and ends[k] <= r.start() and base[k][0] < r.start():
+        while k < len(base) and base[k][0] < r.end():  # reach: the furthest end of the base spans that start before the run ends
+            reach = max(reach, base[k][2])
             k += 1
-        if any(s < r.end() and r.start() < e for s, _, e in base[max(0, k - 3):] if s < r.end()):
+        if reach > r.start():
             continue
         if random_string(r[0], vocabulary, ratio):
             more.append((r.start(), 3, r.end()))
@@ -119,41 +124,52 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]")
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, text: str = "text", vocabulary: str | None = None, ratio: float = RATIO, redacted: bool = False) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, base_sha256, spans and n_spans; redacted: also text and n_chars with the spans replaced.
+#: What find_secrets adds.
+FOUND = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans")
+
+
+def find_secrets(docs: DataFrame, text: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
+    """docs without its text, with n_assign, n_access, n_hex, base_sha256, spans and n_spans.
 
     Null texts are empty and have no spans.  Positions are code points, ends
     exclusive.  Columns of docs with these names are replaced; others stay.
     """
     path = vocabulary or default_vocabulary()
-    new = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"]
-    kept = [c for c in docs.columns if c not in new]
-    carried = kept if redacted else [c for c in kept if c != text]
-    frame = docs.select(*kept)
-    types = {f.name: f.dataType.simpleString() for f in frame.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long"])
+    carried = [c for c in docs.columns if c.lower() not in FOUND and c != text]
+    frame = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row") if carried else F.struct(F.lit(0).alias("none")).alias("row"))
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, texts, lengths = [], [], []
-            for t in b.column(text).to_pylist():
+            rows = []
+            for t in b.column(0).to_pylist():
                 base, spans = scan(t, path, ratio) if t else ([], [])
                 n = [0, 0, 0]
                 for x in base:
                     n[x[1]] += 1
                 rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest() if base else nothing, joined(spans), len(spans)))
-                if redacted:
-                    t = redact(t, spans) if spans else t
-                    texts.append(t)
-                    lengths.append(None if t is None else len(t))
-            cols = dict(zip(carried, (b.column(c) for c in carried)))
-            if redacted:
-                cols[text] = pa.array(texts, pa.string())
-                if "n_chars" in cols:
-                    cols["n_chars"] = pa.array(lengths, pa.int64()).cast(cols["n_chars"].type)
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            found = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*cols.values(), *found], [*cols, *new])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["row", *FOUND])
+
+    schema = StructType([frame.schema["row"], *(StructField(c, StringType() if c in ("base_sha256", "spans") else LongType()) for c in FOUND)])
+    found = frame.mapInArrow(run, schema)
+    return found.select("row.*", *FOUND) if carried else found.select(*FOUND)
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
+    """docs with every secret in text replaced by a mark; n_chars, if docs has it, follows the new text where there is one.
+
+    Null texts stay null.  Other columns, whatever their names, stay as they are.
+    """
+    path = vocabulary or default_vocabulary()
+
+    @F.pandas_udf("string")
+    def marked(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, spans) if t and (spans := scan(t, path, ratio)[1]) else t for t in texts], dtype=object)
 
-    return frame.mapInArrow(run, schema)
+    [new] = free_names(docs.columns, "marked")
+    out = docs.withColumn(new, marked(F.col(f"`{text}`").cast("string")))
+    changed = {text: F.col(new)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])

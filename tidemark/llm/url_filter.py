@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import heavy_keys, spread_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the digest that the equi-join compares.
 PREFIX_DIGITS = 8
@@ -49,26 +51,29 @@ def _prefixes(path: Column, depth: Column) -> Column:
     return F.when((n > 0) & path.startswith("/"), some).otherwise(F.array().cast("array<string>"))
 
 
-def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", prefix_digits: int = PREFIX_DIGITS) -> DataFrame:
     """pages with the columns host, path, rule and verdict.
 
     Null URLs and URLs without ``://`` have empty hosts and paths, match no rule
     and get the default.  An empty path starts with no rule's path.  Equal URLs
-    are judged once; of rules with the same host and path, block wins.  Columns
-    of pages with these four names are replaced; names that start with an
-    underscore are this function's own.
+    are judged once, and pages with an URL that very many pages have are not
+    dealt out by it; of rules with the same host and path, block wins.  Columns
+    of pages with these four names are replaced; all others are kept.
     """
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    new = ("host", "path", "rule", "verdict")
+    kept = [c for c in pages.columns if c.lower() not in new]
     rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("host"), "path").where("host is not null and path is not null")
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(F.concat("host", "path").alias("rule"), "verdict", F.size(F.split("host", r"\.", -1)).alias("hosts"), (F.size(F.split("path", "/", -1)) - 1).alias("paths"))
     deepest = rules.agg(F.coalesce(F.max("hosts"), F.lit(0)).alias("_hosts"), F.coalesce(F.max("paths"), F.lit(0)).alias("_paths")).first()
-    rules = rules.select("rule", F.col("verdict").alias("_rv"), F.sha2("rule", 256).alias("_rd")).withColumn("_key", F.substring("_rd", 1, PREFIX_DIGITS))
+    rules = rules.select("rule", F.col("verdict").alias("_rv"), F.sha2("rule", 256).alias("_rd")).withColumn("_key", F.substring("_rd", 1, prefix_digits))
 
-    urls = pages.select(F.col(url).alias("_url")).where("_url is not null").distinct().select("_url", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
+    urls = pages.select(F.col(f"`{url}`").alias("_url")).where("_url is not null").distinct().select("_url", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     found = urls.where((F.col("host") != "") & F.lit(deepest["_hosts"] > 0)).select("_url", F.explode(_suffixes(F.col("host"), F.lit(deepest["_hosts"]))).alias("_suffix"), _prefixes(F.col("path"), F.lit(deepest["_paths"])).alias("_prefixes"))
     found = found.select("_url", F.explode("_prefixes").alias("_prefix"), "_suffix").select("_url", F.sha2(F.concat("_suffix", "_prefix"), 256).alias("_digest"))
-    found = found.withColumn("_key", F.substring("_digest", 1, PREFIX_DIGITS)).join(rules, "_key").where("_digest = _rd")
-    best = found.groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "_rv")).alias("_best")).withColumnRenamed("_url", "_judged")
-    rows = pages.select(*kept)
-    out = rows.join(best, rows[url] == best["_judged"], "left")
-    return out.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best._rv", F.lit(default)).alias("verdict"))
+    found = found.withColumn("_key", F.substring("_digest", 1, prefix_digits)).join(rules, "_key").where("_digest = _rd")
+    own = F.col(f"`{url}`")
+    rows = pages.select(own.alias("_url"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"))
+    best = found.groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "_rv")).alias("_best"))
+    out = spread_join(rows.where("_url is not null"), best, "_url", "left", heavy_keys(pages.select(own.alias("_url")), "_url"))
+    out = out.unionByName(rows.where("_url is null").withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType)))
+    return out.select("_row.*", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best._rv", F.lit(default)).alias("verdict"))
