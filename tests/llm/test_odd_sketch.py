@@ -111,3 +111,36 @@ def test_cases(spark):
     assert by[7][0].component_id == 6 and by[10**12][0].component_id == 6 and by[None][0].component_id == 6 and not by[None][0].kept
     assert all(by[i][0].kept and by[i][0].n_shingles == 0 for i in range(4)) and len(by[8]) == 3
     assert od.near_duplicates(empty(spark)).count() == 0
+
+
+def test_dropping_keeps_other_texts_of_one_id_and_columns_of_any_name(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one, 5, 1), (1, two, 6, 2), (1, two, 6, 2), (2, one + " tail", 7, 3), (3, "", 8, 4), (3, "", 8, 4), (4, "", 9, 5), (None, one, 1, 6), (None, one, 1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rank int, rank int")
+    out = od.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[6], rows[7], rows[8]], key=str)
+
+
+def test_rows_made_for_a_group_of_near_copies_are_linear(spark):
+    """Every step's rows for one group of m near copies, and for one twice as large."""
+    rng = random.Random(8)
+
+    def made(m):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows = []
+        for i in range(m):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((i, " ".join(w)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        nodes = od.nodes_of(od.features(docs, "text", 5, od.bands_for(0.8))).cache()
+        members = od.members_of(nodes)
+        pairs = od.pivot_pairs(members, 0.8)
+        links = od.components(od.pivot_links(docs, pairs, "text", 5, 80))
+        left = members.where("m > 2").join(links, "node", "left").selectExpr("key", "node", "n_shingles", "sketch", "coalesce(root, node) root")
+        return pairs.count(), od.dealt(left, "key", od.BUCKET_BLOCK).count(), od.families(left, 0.8).count()
+
+    for small, large in zip(made(700), made(1400)):
+        assert large <= 4 * small + 1400

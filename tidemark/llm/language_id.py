@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: About how many documents of each language train it, rounds of learning, and pseudo-counts.
 EXAMPLES, ROUNDS, SMOOTHING = 300, 2, 0.1
-#: Longest piece and longest stretch of letters summed at once; a longer one is cut there.
-PIECE, WORD = 12, 48
+#: Longest runs of letters that are summed many at once; longer ones are summed whole, one by one.
+WORD = 48
 #: Probability of a character outside the vocabulary, in every language.
 UNKNOWN = 1e-7
 #: Base of the polynomial hash of pieces.
@@ -42,7 +42,7 @@ def pieces_of(vocabulary: str) -> list[str]:
         p = sp.id_to_piece(i)
         marked = p.startswith("▁")
         body = p[1:] if marked else p
-        if LETTERS.fullmatch(body) and len(body) < PIECE:
+        if LETTERS.fullmatch(body):
             out["_" * marked + body.lower()] = None
     return list(out)
 
@@ -59,6 +59,7 @@ class Scorer:
     def __init__(self, pieces: list[str], probabilities: np.ndarray):
         """probabilities: pieces by languages."""
         hashes = np.array([self.hash(p) for p in pieces], np.uint64)
+        self.longest = max(map(len, pieces), default=1)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order + 1
         self.p = np.vstack([np.zeros(probabilities.shape[1]), probabilities])  # 0: no piece
@@ -81,7 +82,7 @@ class Scorer:
         """
         n = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64)
-        ids = np.zeros((len(words), n, min(PIECE, n)), np.int64)
+        ids = np.zeros((len(words), n, min(self.longest, n)), np.int64)
         h = np.zeros((len(words), n), np.uint64)
         for k in range(ids.shape[2] if len(self.hashes) else 0):
             h = h[:, :n - k] * np.uint64(BASE) + codes[:, k:]
@@ -110,11 +111,35 @@ class Scorer:
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
         for n, at in by.items():
+            if n > WORD:
+                for i in at:
+                    out[i] = self.log_long(words[i])
+                continue
             for a in range(0, len(at), 4096):
                 part = at[a:a + 4096]
                 out[part] = np.log(self.forward(self.lattice([words[i] for i in part]))[:, -1]) - n * np.log(100.0)
         return out
 
+    def log_long(self, word: str, stretch: int = 4096) -> np.ndarray:
+        """Log-probabilities by languages of one marked word of any length, which is not cut.
+
+        The last sums are kept, scaled at every character; pieces are looked up
+        a stretch at a time, with as many characters before it as a piece can have.
+        """
+        depth, n_langs = self.longest, self.p.shape[1]
+        last, scale = np.zeros((depth, n_langs)), np.zeros(n_langs)  # last[k]: of the prefix that ends k + 1 characters before the next end
+        last[0] = 1
+        for a in range(0, len(word), stretch):
+            before = max(0, a - depth + 1)
+            ids = self.lattice([word[before:a + stretch]])[0]
+            for end in range(a - before, len(ids)):
+                used = ids[end]  # pieces that would start before the word's first character find a sum of 0
+                total = np.einsum("kl,kl->l", last[:len(used)], self.p[used])
+                scale += np.log(total)
+                last[1:] = last[:-1] / total
+                last[0] = 1
+        return scale
+
     def log_texts(self, counts: list[Counter]) -> np.ndarray:
         """Log-likelihoods, texts by languages; what is known of words is kept for the texts that follow."""
         known = self.known
@@ -137,7 +162,7 @@ class Scorer:
 
 
 def words_of_text(text: str) -> Counter:
-    """Counts of the text's lower-cased letter runs, each marked at its start and cut after WORD characters.
+    """Counts of the text's lower-cased letter runs, each marked at its start.
 
     Runs of other numerals (superscripts, Roman numerals) hold no letter and do not count.
     """
@@ -145,13 +170,25 @@ def words_of_text(text: str) -> Counter:
     for w, n in Counter(LETTERS.findall(text.lower())).items():
         if not w.isalpha() and not any(map(str.isalpha, w)):
             continue
-        for a in range(0, len(w), WORD):
-            out["_" + w[a:a + WORD]] += n
+        out["_" + w] += n
+    return out
+
+
+def _cut(words: dict[str, int]) -> dict[str, int]:
+    out = {w: n for w, n in words.items() if len(w) <= WORD}
+    for w, n in words.items():
+        for a in range(0, len(w) if len(w) > WORD else 0, WORD):
+            part = w[a:a + WORD]
+            out[part] = out.get(part, 0) + n
     return out
 
 
 def learn(pieces: list[str], counts: dict[str, dict[str, int]], rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Piece probabilities, pieces by languages (in counts' order), by expectation maximisation over all segmentations."""
+    """Piece probabilities, pieces by languages (in counts' order), by expectation maximisation over all segmentations.
+
+    Words of more than WORD characters teach as several, cut there.
+    """
+    counts = {lang: _cut(words) for lang, words in counts.items()}
     scorer = Scorer(pieces, np.full((len(pieces), 1), 1.0 / len(pieces)))
     start = np.array([10.0 ** -len(p.lstrip("_")) for p in pieces])
     columns = []

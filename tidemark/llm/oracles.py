@@ -40,7 +40,7 @@ grid as (select i - 1 as step, ["""
 tests as ("""
     + " union all ".join(f"select stratum, '{r}' as rule, step, cutoff, count(*) filter (where good) as n, count(*) filter (where good and f_{r} >= cutoff) as x, count(*) filter (where not good) as nb, count(*) filter (where not good and f_{r} >= cutoff) as xb from lab, grid group by all" for r in RULES)
     + f"""),
-tails as (select *, case when x >= n * {ALPHA}::double then 1e0 else list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}::double) + (n - i) * ln(1 - {ALPHA}::double)))) end
+tails as (select *, case when x >= n * {ALPHA / len(RULES)}::double then 1e0 else list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RULES)}::double) + (n - i) * ln(1 - {ALPHA / len(RULES)}::double)))) end
   <= {DELTA}::double / {len(RULES)} / (select count(distinct stratum) from lab) as ok from tests),
 cuts as (select stratum, rule, cutoff from (select *, min(case when not ok then step end) over (partition by stratum, rule) as failed from tails) where ok and (failed is null or step < failed) and xb * n > x * nb
   qualify row_number() over (partition by stratum, rule order by xb * n - x * nb desc, cutoff desc) = 1),

@@ -3,13 +3,14 @@
 A rule rejects a document when its statistic reaches a cutoff.  For every
 stratum and rule the cutoffs of a fixed grid are tested from the most lenient
 on against labelled holdout documents: a cutoff is certified if the exact
-binomial tail P(Bin(n, alpha) <= x) is at most delta / (strata * rules), with n
-good labelled documents in the stratum of which the cutoff rejects x.  Testing
-in that fixed order and stopping at the first failure needs no further
-correction over cutoffs; Bonferroni covers strata and rules.  With probability
-1 - delta, no certified cutoff rejects more than alpha of any stratum's good
-documents.  Of a stratum's certified cutoffs a rule takes the one that separates
-bad from good labelled documents best, and none if none does.
+binomial tail P(Bin(n, alpha / rules) <= x) is at most delta / (strata * rules),
+with n good labelled documents in the stratum of which the cutoff rejects x.
+Testing in that fixed order and stopping at the first failure needs no further
+correction over cutoffs; Bonferroni covers strata and rules.  So with
+probability 1 - delta no rule rejects more than alpha / rules of any stratum's
+good documents, and all rules together no more than alpha of them.  Of a
+stratum's certified cutoffs a rule takes the one that separates bad from good
+labelled documents best, and none if none does.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, text_of, words_of
+from .common import free_names, let, materialize, text_of, words_of
 
-#: Highest share of good documents that one rule may reject in a stratum, and the chance that any certified cutoff breaks it.
-ALPHA, DELTA = 0.02, 0.05
+#: Highest share of a stratum's good documents that the rules together may reject, and the chance that this is broken anywhere.
+ALPHA, DELTA = 0.03, 0.05
 #: Cutoffs in hundredths, from the most lenient to the strictest.
 GRID = (90, 80, 70, 60, 50, 40, 35, 30, 25, 20, 15, 12, 10, 8, 6, 5, 4, 3, 2)
 #: Statistic of a document in hundredths, by rule.
@@ -63,19 +64,21 @@ def text_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
 
     n_lines counts lines with a word.  Null and empty texts have zeros and fail the base rule.
     """
-    out = docs.select(*keep, text_of(docs, text).alias("_text"))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    [body] = free_names(keep, "body")
+    out = docs.select(*keep, text_of(docs, text).alias(body))
+    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def stats(words):
         return F.struct(
             F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             _repeat_words(words).alias("n_repeat_words"))
 
+    of_words, of_lines = free_names([*keep, body], "of_words", "of_lines")
     out = out.select(
-        *keep, let(words_of(F.col("_text")), stats).alias("_s"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("_l"))
-    out = out.select(*keep, "_s.n_words", "_s.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_s.n_repeat_words")
+        *keep, let(words_of(F.col(body)), stats).alias(of_words),
+        (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias(of_lines))
+    out = out.select(*keep, f"{of_words}.n_words", f"{of_words}.word_chars", "n_symbols", f"{of_lines}.n_lines", f"{of_lines}.n_dup_lines", f"{of_words}.n_repeat_words")
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -101,39 +104,43 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
     labelled: stratum, good, and the rules' levels (columns named by rule).  The
     gain is the share of bad documents rejected less that of good ones.
     """
-    counts = labelled.groupBy("stratum", *RULES).agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad"))
+    counts = materialize(labelled.groupBy("stratum", *RULES).agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad")), "quality-counts")  # a row for each stratum and pair of levels
     each = counts.select("stratum", "n", "bad", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES])).alias("x")).select("stratum", "n", "bad", "x.rule", "x.level")
     each = each.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.collect_list(F.struct("level", "n", "bad")).alias("levels"))
-    strata = labelled.select("stratum").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
-    tests = each.join(F.broadcast(strata)).select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.lit(c).alias("cutoff")) for k, c in enumerate(GRID)])).alias("g"))
+    strata = max(1, counts.select("stratum").distinct().count())
+    tests = each.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.lit(c).alias("cutoff")) for k, c in enumerate(GRID)])).alias("g"))
 
     def rejected(kind):
         return F.aggregate("levels", F.lit(0).cast("long"), lambda acc, v: acc + F.when(v["level"] <= F.col("g.step"), v[kind]).otherwise(0))
 
-    tests = tests.select("stratum", "rule", "g.step", "g.cutoff", (binomial_tail(rejected("n"), F.col("n"), alpha) <= delta / len(RULES) / F.col("strata")).alias("ok"), (rejected("bad") * F.col("n") - rejected("n") * F.col("bad")).alias("gain"))
+    tests = tests.select("stratum", "rule", "g.step", "g.cutoff", (binomial_tail(rejected("n"), F.col("n"), alpha / len(RULES)) <= delta / len(RULES) / strata).alias("ok"), (rejected("bad") * F.col("n") - rejected("n") * F.col("bad")).alias("gain"))
     runs = tests.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("step"))).alias("failed"))
     tests = tests.join(runs, ["stratum", "rule"]).where(F.col("ok") & (F.col("failed").isNull() | (F.col("step") < F.col("failed"))) & (F.col("gain") > 0))
     return tests.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
 
 
-def _stratified(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit("(none)")))
+def _stratum() -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("(none)"))
 
 
-def _cutoff_table(stats: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """_stratum and a column _cut_<rule> for each rule, from documents' statistics; a row per stratum with a cutoff."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    labelled = stats.where(~F.col("base_failed")).join(marks, "doc_id").select(F.col("_stratum").alias("stratum"), "good", *[_level(RULES[r]()).alias(r) for r in RULES])
-    cutoffs = certified_cutoffs(labelled, alpha, delta)
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
-    return materialize(wide.withColumnRenamed("stratum", "_stratum"), "cutoffs")
+def _marks(labels: DataFrame) -> DataFrame:
+    """doc_id and good; repeated labels count once and are good only if all are."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+
+
+def _cutoff_table(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """stratum and a column cut_<rule> for each rule, from labelled documents' statistics, stratum and good; a row per stratum with a cutoff."""
+    levels = labelled.where(~F.col("base_failed")).select("stratum", "good", *[_level(RULES[r]()).alias(r) for r in RULES])
+    cutoffs = certified_cutoffs(levels, alpha, delta)
+    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    return materialize(wide, "cutoffs")
 
 
 def _reasoned(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
     reason = F.when(F.col("base_failed"), "base")
     for r in RULES:
-        reason = reason.when(RULES[r]() >= F.col(f"_cut_{r}"), r)
-    return stats.join(cutoffs, "_stratum", "left").withColumn("reason", reason)
+        reason = reason.when(RULES[r]() >= F.col(f"cut_{r}"), r)
+    return stats.join(cutoffs, "stratum", "left").withColumn("reason", reason)
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -142,17 +149,20 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     Strata are languages; a null language is one of its own.  labels: doc_id and
     quality (1: good); repeated labels count once and are good only if all are.
     A stratum with too few good labelled documents gets no cutoff and rejects
-    only what the base rule rejects.
+    only what the base rule rejects.  Other columns of docs are not read.
     """
-    stats = materialize(text_stats(_stratified(docs), ["doc_id", "_stratum"]), "quality")
-    out = _reasoned(stats, _cutoff_table(stats, labels, alpha, delta))
+    stats = materialize(text_stats(docs.select("doc_id", "text", _stratum().alias("stratum")), ["doc_id", "stratum"]), "quality")
+    out = _reasoned(stats, _cutoff_table(stats.join(_marks(labels), "doc_id"), alpha, delta))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", F.col("reason").isNull().alias("kept"), "reason")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs, all columns, that judge keeps.  Cutoffs are found first; the texts are then read again and filtered where they are."""
-    columns = docs.columns
-    stats = materialize(text_stats(_stratified(docs), ["doc_id", "_stratum"]), "quality")
-    cutoffs = _cutoff_table(stats, labels, alpha, delta)
-    rows = _stratified(docs.select("*", F.struct(*columns).alias("_row")))
-    return _reasoned(text_stats(rows, ["_row", "_stratum"]), cutoffs).where("reason is null").select("_row.*")
+    """The rows of docs, all columns of any name, that judge keeps.
+
+    Cutoffs come from the labelled documents alone; then all texts are read once
+    and filtered where they are.
+    """
+    marked = docs.select("doc_id", "text", _stratum().alias("stratum")).join(_marks(labels), "doc_id")
+    cutoffs = _cutoff_table(text_stats(marked, ["stratum", "good"]), alpha, delta)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", _stratum().alias("stratum"))
+    return _reasoned(text_stats(rows, ["row", "stratum"]), cutoffs).where("reason is null").select("row.*")
