@@ -35,7 +35,7 @@ EXAMPLES, FLOOR = 4_000, 0.01
 #: Parts that document frequencies are summed in.
 PARTS = 64
 #: Terms in more than one of so many examples are summed by matrix products, texts judged at once.
-COMMON, TOGETHER = 16, 256
+COMMON, TOGETHER = 32, 256
 #: Neighbours that vote, examples in a block, blocks of the largest bounds that are summed first, length of word beginnings.
 NEAREST, BLOCK, FIRST, STEM = 15, 64, 2, 4
 #: Weight of the sample's share of toxic documents in a vote.
@@ -183,12 +183,12 @@ class Index:
             flat = np.repeat(query[own] * width, times) + self.ids[posting]
             sums.reshape(-1)[:] += np.bincount(flat, np.repeat(weights[own], times) * self.weights[posting], n * width)
 
-        leading = np.zeros((n, blocks), bool)
-        np.put_along_axis(leading, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, 1)
+        leading, first = np.zeros((n, blocks), bool), np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        np.put_along_axis(leading, first, True, 1)
         add(leading)
-        least = np.partition(sums, -k, axis=1)[:, -k] if k < width else np.zeros(n)
+        found = sums.reshape(n, blocks, self.block)[np.arange(n)[:, None], first].reshape(n, -1)
+        least = np.partition(found, -k, axis=1)[:, -k] if k <= found.shape[1] else np.zeros(n)  # the k-th largest is no less
         add((bound > 0) & (bound * (1 + 1e-5) >= least[:, None]) & ~leading)
-        least = np.partition(sums, -k, axis=1)[:, -k] if k < width else np.zeros(n)
         out = []
         for i in range(n):
             found = np.flatnonzero((sums[i] >= least[i]) & (sums[i] > 0))
