@@ -110,8 +110,11 @@ def test_kernels():
     assert np.abs(np.fft.rfft(dsp.phone(tone)))[4500:].max() < 200 and dsp.rms(dsp.hum(16_000, rng)) == pytest.approx(1, abs=1e-3)
     noisy = dsp.at_snr(tone, dsp.coloured_noise(16_000, 0, rng), 10.0)
     assert 20 * np.log10(dsp.rms(tone) / dsp.rms(noisy - tone)) == pytest.approx(10, abs=0.1)
-    assert np.array_equal(dsp.augmented(tone, (1, 2)), dsp.augmented(tone, (1, 2)))
-    x, events = dsp.mixture(tone, [("horn", tone[:4000])], (3, 4))
+    assert np.array_equal(dsp.augmented(tone, (1, 2))[0], dsp.augmented(tone, (1, 2))[0])
+    for k in range(60):
+        y, moved = dsp.augmented(tone, (1, k), [("horn", 0.2, 0.4)], [tone], [tone])
+        assert len(y) == len(tone) and np.abs(y).max() <= 1 and all(e - s >= 0.05 and e <= 1 for _, s, e in moved)
+    x, events = dsp.mixture([tone], {"horn": [tone[:4000]]}, (3, 4))
     assert len(x) == 128_000 and all(0 <= s < e <= 8 for _, s, e in events)
     assert dsp.spec_augmented(mel, rng).shape == mel.shape and dsp.babble([tone], 100, rng).shape == (100,)
 

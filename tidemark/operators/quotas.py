@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,28 +36,40 @@ def group_matrix(clips: DataFrame, group: list[str], label: str = "label", label
     return clips.groupBy(*group).pivot(label, labels).count().na.fill(0)
 
 
-def greedy_cover(clips: DataFrame, group: str, label: str, cap: int, budget: int) -> DataFrame:
+def greedy_cover(clips: DataFrame, group: str | list[str], label: str, cap: int, budget: int) -> DataFrame:
     """group, pick_ord, gain: groups picked one by one for the most remaining quota, weighted so that rare labels count like common ones.
 
-    The choice is sequential by nature; what reaches the driver is the group by
-    label matrix of counts, which grows with row groups and not with clips.
+    A clip with several labels is several rows.  The choice is sequential by
+    nature: what reaches the driver is a count for each label of each group,
+    which grows with row groups and not with clips.  Gains only ever fall, so a
+    heap of earlier gains shows the next pick without looking at every group.
     """
-    counts = clips.groupBy(group, label).count().collect()
-    groups, labels = sorted({r[group] for r in counts}), sorted({r[label] for r in counts})
-    m = np.zeros((len(groups), len(labels)))
-    at, col = {g: i for i, g in enumerate(groups)}, {c: i for i, c in enumerate(labels)}
+    group = [group] if isinstance(group, str) else list(group)
+    counts = clips.groupBy(*group, label).count().collect()
+    have: dict[tuple, dict] = {}
+    total: dict = {}
     for r in counts:
-        m[at[r[group]], col[r[label]]] = r["count"]
-    weight, need, out = 1 / np.clip(np.minimum(cap, m.sum(0)), 1, None), np.full(len(labels), float(cap)), []
-    while len(out) < min(budget, len(groups)):
-        gain = np.minimum(m, need) @ weight
-        best = int(gain.argmax())
-        if gain[best] <= 0:
+        have.setdefault(tuple(r[g] for g in group), {})[r[label]] = r["count"]
+        total[r[label]] = total.get(r[label], 0) + r["count"]
+    weight = {c: 1 / max(1, min(cap, n)) for c, n in total.items()}
+    need = dict.fromkeys(total, cap)
+    have = {g: {c: own[c] for c in sorted(own)} for g, own in have.items()}
+    gain = lambda own: round(float(sum(min(n, need[c]) * weight[c] for c, n in own.items())), 9)  # noqa: E731  (so that equal gains are equal in any order of labels)
+    heap = [(-gain(own), g, 0) for g, own in have.items()]
+    heapq.heapify(heap)
+    out = []
+    while heap and len(out) < budget:
+        negative, g, seen = heapq.heappop(heap)
+        if seen < len(out):  # the gain is from before the last pick
+            heapq.heappush(heap, (-gain(have[g]), g, len(out)))
+        elif negative < 0:
+            out.append((*g, len(out), -negative))
+            for c, n in have[g].items():
+                need[c] = max(need[c] - n, 0)
+        else:
             break
-        out.append((groups[best], len(out), float(gain[best])))
-        need, m[best] = np.maximum(need - m[best], 0), 0
-    kind = dict(clips.dtypes)[group]
-    return clips.sparkSession.createDataFrame(out, f"`{group}` {kind}, pick_ord int, gain double")
+    kinds = dict(clips.dtypes)
+    return clips.sparkSession.createDataFrame(out, ", ".join([f"`{g}` {kinds[g]}" for g in group] + ["pick_ord int, gain double"]))
 
 
 def top_groups(clips: DataFrame, group: list[str], picked: DataFrame, n: int) -> DataFrame:
@@ -65,6 +78,38 @@ def top_groups(clips: DataFrame, group: list[str], picked: DataFrame, n: int) ->
     return counts.join(picked.select(*group), group, "left_anti").orderBy(F.desc("n_val"), *group).limit(n)
 
 
+def select_rowgroups(clips: DataFrame, group: list[str], labels: str, cap: int, budget: int, n_val: int, known: list[str] | None = None) -> DataFrame:
+    """group, pick_ord: the greedy cover of clips by their labels (an array column; unknown ones do not count), then the n_val groups with most validation clips."""
+    pairs = clips.select(*group, F.explode(labels).alias("label"))
+    if known is not None:
+        pairs = pairs.where(F.col("label").isin(known))
+    picks = greedy_cover(pairs, group, "label", cap, budget).select(*group, "pick_ord")
+    order = F.row_number().over(Window.orderBy(F.desc("n_val"), *group))  # n_val rows
+    more = top_groups(clips, group, picks, n_val).crossJoin(picks.agg(F.count(F.lit(1)).alias("_n"))).select(*group, (F.col("_n") + order - 1).cast("int").alias("pick_ord"))
+    return picks.unionByName(more)
+
+
+def in_pick_order(items: DataFrame, picks: DataFrame, group: list[str]) -> DataFrame:
+    """items of the picked groups with pick_ord, one group after another; a group's items stay in one task's range."""
+    return items.join(F.broadcast(picks.select(*group, "pick_ord")), group).repartitionByRange(F.col("pick_ord")).sortWithinPartitions("pick_ord")  # a row for each pick
+
+
+def drawn(items: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:
+    """draw, label and key of n seeded draws: first a label, all alike, then one of its items, all alike.
+
+    Labels and their counts are few; draws are made where they are numbered and
+    meet their items by label and rank, so no label's items are gathered.
+    """
+    ranked = items.select(label, key, (F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)) - 1).alias("_at"))
+    sizes = items.groupBy(label).count().withColumn("_label", F.row_number().over(Window.orderBy(label)) - 1)
+    labels = sizes.count()
+    if not labels:
+        return ranked.select(F.lit(0).cast("long").alias("draw"), label, key).limit(0)
+    draws = items.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(labels)).cast("int").alias("_label"), F.xxhash64(F.lit(seed + 1), "id").alias("_h"))
+    draws = draws.join(F.broadcast(sizes), "_label").withColumn("_at", F.pmod("_h", F.col("count")).cast("int"))  # a row for each label
+    return draws.join(ranked, [label, "_at"]).select("draw", label, key)
+
+
 def head_of(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     return first_n(rows, keys, order, F.lit(n), F.lit(True))
 

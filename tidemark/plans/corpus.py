@@ -128,11 +128,11 @@ def visible_events(spark, sf_dir):
     return th.visible(e, ["error"], 0.05)
 
 
-@query(t.with_tables("scored") + ", a as (select label, round(avg(p), 9) as m from scored where id % 2 = 0 group by label), b as (select label, round(avg(p), 9) as m from scored where id % 3 = 0 and label <> 'es' group by label) select coalesce(a.label, b.label) as label, a.m as m_old, b.m as m_new from a full join b on a.label = b.label")
+@query(t.with_tables("scored") + ", a as (select label, round(avg(p), 9) as m from scored group by label), b as (select label, round(avg(1 - p), 9) as m from scored where label <> 'es' group by label) select coalesce(a.label, b.label) as label, a.m as m_old, b.m as m_new from a full join b on a.label = b.label")
 def model_compare_outer(spark, sf_dir):
     s = t.scored(spark, sf_dir)
-    mean = lambda df: df.groupBy("label").agg(F.round(F.avg("p"), 9).alias("m"))
-    return rp.side_by_side(mean(s.where("id % 2 = 0")), mean(s.where("id % 3 = 0 and label <> 'es'")), ["m"], ("old", "new"))
+    mean = lambda df, p: df.groupBy("label").agg(F.round(F.avg(p), 9).alias("m"))
+    return rp.side_by_side(mean(s, F.col("p")), mean(s.where("label <> 'es'"), 1 - F.col("p")), ["m"], ("old", "new"))
 
 
 @query(t.with_tables("clips") + " select distinct src as label from clips where not exists (select 1 from clips b where b.split = 'val' and b.src = clips.src and b.label = 'en')")
@@ -147,10 +147,10 @@ def corpus_rollup(spark, sf_dir):
     return rp.store_statistics(c).withColumn("hours", F.round("hours", 6)).withColumn("gb", F.round("gb", 6))
 
 
-@query(t.with_tables("clips") + ", a as (select distinct src, label from clips where clip_id % 7 = 0) select clip_id, src, label from clips where exists (select 1 from a where a.src = clips.src and a.label = clips.label)")
+@query(t.with_tables("clips") + ", a as (select distinct src, label from clips where duration > 60) select clip_id, src, label from clips where exists (select 1 from a where a.src = clips.src and a.label = clips.label)")
 def annotated_sources(spark, sf_dir):
     c = t.clips(spark, sf_dir)
-    return rp.scored_where_annotated(c.select("clip_id", "src", "label"), c.where("clip_id % 7 = 0"))
+    return rp.scored_where_annotated(c.select("clip_id", "src", "label"), c.where("duration > 60"))
 
 
 @query("select event_id, cast(props::json->>'k' as integer) as k, '{\"k\":' || (props::json->>'k') || '}' as again from events")

@@ -30,7 +30,7 @@ def hysteresis_events(spark, sf_dir):
     return ev.as_seconds(ev.hysteresis(smooth, thresholds))
 
 
-@query(t.with_tables("fs") + """, w as (select clip_id // 8 as rec, (clip_id % 8) * 16 + frame as frame, p from fs where clip_id // 8 < 10000000),
+@query(t.with_tables("fs") + """, w as (select clip_id // 8 as rec, (clip_id % 8) * 16 + frame as frame, p from fs),
 grid as (select rec, unnest(range(0, 180)) as frame from (select distinct rec from w))
 select rec as clip_id, 'all' as label, cast(g.frame as integer) as frame, round(coalesce(m.p, 0), 9) as p from grid g left join (select rec, frame, avg(p) as p from w group by all) m using (rec, frame)""")
 def window_overlap_avg(spark, sf_dir):
@@ -111,13 +111,13 @@ def gap_join_events(spark, sf_dir):
     return ev.gap_join(t.events(spark, sf_dir), F.lit(600)).withColumn("start_s", F.round("start_s", 6)).withColumn("end_s", F.round("end_s", 6))
 
 
-@query(t.with_tables("ev") + " select id, clip_id, label from ev a where id % 2 = 0 and exists (select 1 from ev b where b.id % 2 = 1 and b.clip_id = a.clip_id and b.label = a.label and a.start_s < b.end_s and a.end_s > b.start_s)")
+@query(t.with_tables("ev") + " select id, clip_id, label from ev a where end_s - start_s >= 5000 and exists (select 1 from ev b where b.end_s - b.start_s < 5000 and b.clip_id = a.clip_id and b.label = a.label and a.start_s < b.end_s and a.end_s > b.start_s)")
 def interval_overlap_semi(spark, sf_dir):
     e = t.events(spark, sf_dir)
-    return ev.overlapping(e.where("id % 2 = 0"), e.where("id % 2 = 1")).select("id", "clip_id", "label")
+    return ev.overlapping(e.where("end_s - start_s >= 5000"), e.where("end_s - start_s < 5000")).select("id", "clip_id", "label")
 
 
-_COUNTS = """, a as (select * from ev where id % 2 = 0), b as (select * from ev where id % 2 = 1),
+_COUNTS = """, a as (select * from ev where end_s - start_s >= 5000), b as (select * from ev where end_s - start_s < 5000),
 gt as (select label, count(*) as gt, count(*) filter (where exists (select 1 from b where b.clip_id = a.clip_id and b.label = a.label and a.start_s < b.end_s and a.end_s > b.start_s)) as gt_found from a group by label),
 pr as (select label, count(*) as pred, count(*) filter (where exists (select 1 from a where b.clip_id = a.clip_id and b.label = a.label and a.start_s < b.end_s and a.end_s > b.start_s)) as pred_ok from b group by label)"""
 
@@ -127,7 +127,7 @@ def overlap_eval(spark, sf_dir):
     from ..operators import metrics
 
     e = t.events(spark, sf_dir)
-    out = metrics.event_scores(ev.overlap_counts(e.where("id % 2 = 0"), e.where("id % 2 = 1")))
+    out = metrics.event_scores(ev.overlap_counts(e.where("end_s - start_s >= 5000"), e.where("end_s - start_s < 5000")))
     return out.select("label", "gt", "gt_found", "pred", "pred_ok", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1")])
 
 

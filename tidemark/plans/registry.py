@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import corpus, frames, selection, speech, stars  # noqa: E402, F401  (they register their queries)
+from . import banks, corpus, frames, selection, speech, stars  # noqa: E402, F401  (they register their queries)

@@ -16,12 +16,21 @@ from pyspark.sql import functions as F
 RATE = 16_000
 
 
-def resampled(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
-    """x at another rate, by linear interpolation."""
+def resampled(x: np.ndarray, rate: int, to: int = RATE, lobes: int = 16) -> np.ndarray:
+    """x at another rate, by a windowed sinc that keeps what is below half of the lower rate."""
     if rate == to or not len(x):
         return x.astype(np.float32)
-    n = max(1, round(len(x) * to / rate))
-    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x).astype(np.float32)
+    n, cut = max(1, round(len(x) * to / rate)), min(1.0, to / rate)
+    reach = int(np.ceil(lobes / cut))
+    padded = np.pad(x.astype(np.float64), reach + 1)
+    out = np.empty(n)
+    for a in range(0, n, 8192):
+        at = np.arange(a, min(n, a + 8192)) * rate / to
+        near = np.floor(at).astype(np.int64)[:, None] + np.arange(-reach, reach + 1)
+        d = at[:, None] - near
+        kernel = cut * np.sinc(cut * d) * np.where(np.abs(d) < reach, 0.5 + 0.5 * np.cos(np.pi * d / reach), 0)
+        out[a:a + len(at)] = (kernel * padded[np.clip(near + reach + 1, 0, len(padded) - 1)]).sum(1)
+    return out.astype(np.float32)
 
 
 def decoded(blob: bytes | None, ffmpeg: str | None = None) -> np.ndarray | None:
