@@ -138,7 +138,7 @@ def test_rows_made_for_a_group_of_near_copies_are_linear(spark):
         nodes = od.nodes_of(od.features(docs, "text", 5, od.bands_for(0.8))).cache()
         members = od.members_of(nodes)
         pairs = od.pivot_pairs(members, 0.8)
-        links = od.components(od.pivot_links(docs, pairs, "text", 5, 80))
+        links = od.components(od.pivot_links(od.texts_of(docs, members, "text"), pairs, 5, 80))
         left = members.where("m > 2").join(links, "node", "left").selectExpr("key", "node", "n_shingles", "sketch", "coalesce(root, node) root")
         return pairs.count(), od.dealt(left, "key", od.BUCKET_BLOCK).count(), od.families(left, 0.8).count()
 

@@ -229,11 +229,11 @@ def pivot_pairs(members: DataFrame, threshold: float) -> DataFrame:
     return pairs.withColumn("g", groups).select("node", "pivot", "g", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("g")).alias("h"))
 
 
-def pivot_links(docs: DataFrame, pairs: DataFrame, text: str, size: int, threshold_percent: int) -> DataFrame:
+def pivot_links(texts: DataFrame, pairs: DataFrame, size: int, threshold_percent: int) -> DataFrame:
     """(a, b): the pairs (node, pivot) whose full sets are linked."""
     group = ["pivot", "g", "h"]
     items = pairs.select(*group, "node", F.lit(1).alias("role")).unionByName(pairs.select(*group).distinct().select(*group, F.col("pivot").alias("node"), F.lit(0).alias("role")))
-    rows = items.withColumn("doc_id", _doc_of(F.col("node"))).join(_texts(docs, text), "doc_id").repartition(*group).sortWithinPartitions(*group, "role", "node").select(*group, "role", "node", "text")
+    rows = items.join(texts, "node").repartition(*group).sortWithinPartitions(*group, "role", "node").select(*group, "role", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, base, last = None, None, None
@@ -259,8 +259,10 @@ def pivot_links(docs: DataFrame, pairs: DataFrame, text: str, size: int, thresho
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def _texts(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def texts_of(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
+    """node and text of every node that shares a bucket: all that any later step compares, so all texts move once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return members.select("node").distinct().withColumn("doc_id", _doc_of(F.col("node"))).join(texts, "doc_id").select("node", "text")
 
 
 def dealt(rows: DataFrame, group: str, block: int) -> DataFrame:
@@ -367,10 +369,10 @@ def exact_links(sets: list[np.ndarray], threshold_percent: int) -> np.ndarray:
     return linked
 
 
-def confirmed(docs: DataFrame, members: DataFrame, text: str, size: int, threshold_percent: int) -> DataFrame:
+def confirmed(texts: DataFrame, members: DataFrame, size: int, threshold_percent: int) -> DataFrame:
     """(a, b): spanning stars of the exact links between members (node, family, root) of one family and different roots."""
     group = ["family", "x", "y"]
-    rows = dealt(members, "family", FAMILY_BLOCK).withColumn("r", F.xxhash64("root")).withColumn("doc_id", _doc_of(F.col("node"))).join(_texts(docs, text), "doc_id")
+    rows = dealt(members, "family", FAMILY_BLOCK).withColumn("r", F.xxhash64("root")).join(texts, "node")
     rows = rows.repartition(*group).sortWithinPartitions(*group, "node").select(*group, "own", "node", "r", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,18 +407,19 @@ def linked_rows(docs: DataFrame, text: str = "text", size: int = 5, threshold_pe
     nodes = materialize(nodes_of(rows), "near-nodes")
     members = materialize(members_of(nodes), "near-members")
     pairs = materialize(pivot_pairs(members, threshold), "near-pairs")
-    links = components(pivot_links(docs, pairs, text, size, threshold_percent))
+    texts = materialize(texts_of(docs, members, text), "near-texts")
+    links = components(pivot_links(texts, pairs, size, threshold_percent))
     root = F.coalesce("root", "node").alias("root")
     left = materialize(members.where("m > 2").join(links, "node", "left").select("key", "node", "n_shingles", "sketch", root), "near-left")  # a pair has been compared
     family = components(families(left, threshold)).select("node", F.col("root").alias("family"))
-    more = materialize(confirmed(docs, family.join(links, "node", "left").select("node", "family", root), text, size, threshold_percent), "near-more")
+    more = materialize(confirmed(texts, family.join(links, "node", "left").select("node", "family", root), size, threshold_percent), "near-more")
     found = materialize(nodes.select("node", "digest").join(links, "node", "left").select("digest", root), "near-found")
     if not more.isEmpty():
         of_a, of_b = (links.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         tops = components(more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
         tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
         found = materialize(spread_join(found, tops, "root", "left", heavy_keys(found, "root")).select("digest", F.coalesce("top", "root").alias("root")), "near-found")
-    discard(nodes, members, pairs, left, more, links)
+    discard(nodes, members, pairs, texts, left, more, links)
     rows = rows.select("doc_id", "text_hash", "n_shingles", "digest")
     return spread_join(rows, found, "digest", "left", heavy_keys(rows, "digest"))
 
