@@ -72,7 +72,7 @@ def _pcm(spark, sf_dir):
     return t.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), packed("embedding").alias("pcm"))
 
 
-_SAMPLES = "s as (select vec_id as clip_id, i, trunc(greatest(-1e0, least(1e0, embedding[i]::double)) * 32767) / 32767 as x from embeddings, range(1, 65) r(i))"
+_SAMPLES = "s as (select vec_id as clip_id, i, (trunc(greatest(-1e0, least(1e0, embedding[i]::double)) * 32767) / 32767)::float::double as x from embeddings, range(1, 65) r(i))"
 
 
 @query(f"with {_SAMPLES} select clip_id, ((i - 1) // 16)::integer as frame, round(10 * log10(avg(x * x) + 1e-10), 3) as db from s group by all")
