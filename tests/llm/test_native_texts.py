@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, empty
 from tidemark.llm import mixing, pii, quality_rules
-from tidemark.llm.common import read
+from tidemark.llm.common import materialize, read, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,6 +69,20 @@ def test_judge_keeps_rows(spark):
     assert all(r.kept == (r.reason is None) and not (r.base_failed and r.kept) for r in out.collect())
 
 
+def test_keep_good_keeps_whole_rows_and_leaves_no_copy(spark, sf):
+    docs = _tables(spark, sf).where("doc_id is not null").withColumn("row", F.lit("r")).withColumn("n_words", F.col("doc_id")).withColumn("c.0", F.lit(1))
+    labels = read(spark, sf, "labels")
+    lazy = quality_rules.keep_good(docs, labels)
+    [copy] = lazy.tidemark_owned
+    assert len(copy.inputFiles()) > 0
+    out = materialize(lazy, "kept").collect()
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", True).load(shared_dir(spark)).where(F.col("path").contains(copy.tidemark_path.rsplit("/", 1)[1])).isEmpty()
+    kept = Counter(r.doc_id for r in quality_rules.judge(docs, labels).where("kept").collect())
+    assert Counter(r.doc_id for r in out) == kept and out[0].asDict().keys() == set(docs.columns)
+    of = Counter(tuple(r) for r in docs.collect())
+    assert all(of[tuple(r)] for r in out)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

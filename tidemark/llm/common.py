@@ -32,15 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back, which cuts the lineage for lost executors."""
+    """Write df as Parquet under the shared folder and read it back, which cuts the lineage for lost executors.
+
+    Tables that df owns are deleted then, so df is not to be read again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
+    discard(*vars(df).get("tidemark_owned", ()))
     return out
 
 
+def owning(df: DataFrame, *written: DataFrame) -> DataFrame:
+    """df, with tables that materialize wrote and that nothing but df reads."""
+    df.tidemark_owned = written
+    return df
+
+
 def discard(*written: DataFrame) -> None:
     """Delete tables that materialize wrote, once everything that reads them has been written out itself."""
     for df in written:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, let, materialize, text_of, words_of
+from .common import free_names, let, materialize, owning, text_of, words_of
 
 #: Highest share of a stratum's good documents that the rules together may reject, and the chance that this is broken anywhere.
 ALPHA, DELTA = 0.03, 0.05
@@ -159,10 +159,14 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs, all columns of any name, that judge keeps.
 
-    Cutoffs come from the labelled documents alone; then all texts are read once
-    and filtered where they are.
+    All texts are read once: rows are written with their statistics, the cutoffs
+    come from those of the labelled documents, joined without texts, and the
+    written rows are filtered where they are.  The copy is the result's own and
+    goes when materialize has written the result.
     """
-    marked = docs.select("doc_id", "text", _stratum().alias("stratum")).join(_marks(labels), "doc_id")
-    cutoffs = _cutoff_table(text_stats(marked, ["stratum", "good"]), alpha, delta)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", _stratum().alias("stratum"))
-    return _reasoned(text_stats(rows, ["row", "stratum"]), cutoffs).where("reason is null").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    rows = docs.select(row.alias("row"), "doc_id", "text", _stratum().alias("stratum"))
+    stats = materialize(text_stats(rows, ["row", "doc_id", "stratum"]), "quality")
+    cutoffs = _cutoff_table(stats.drop("row").join(_marks(labels), "doc_id"), alpha, delta)
+    kept = _reasoned(stats, cutoffs).where("reason is null").select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return owning(kept, stats)
