@@ -44,15 +44,31 @@ def monotone_starts(words: DataFrame) -> DataFrame:
 
 
 def tags(words: DataFrame, events: DataFrame, times: bool = False) -> DataFrame:
-    """clip_id, t, prio, text: an opening tag for every merged event and a closing one for background sounds around words."""
-    spans = words.select(F.col("clip_id").alias("_c"), F.coalesce("start_s", F.lit(0.0)).alias("_s"), F.coalesce("end_s", "start_s", F.lit(0.0)).alias("_e"))
+    """clip_id, t, prio, text: an opening tag for every merged event and a closing one for background sounds around words.
+
+    Words and the events' ends are one series ordered by time: an event
+    overlaps a word if, of the words that start before its end, the farthest
+    end lies after its start.
+    """
+    spans = words.select("clip_id", F.coalesce("start_s", F.lit(0.0)).alias("_at"), F.lit(1).alias("_w"), F.coalesce("end_s", "start_s", F.lit(0.0)).alias("_e"))
+    ends = events.select("clip_id", F.col("end_s").alias("_at"), F.lit(0).alias("_w"), "label", "start_s", "end_s")
+    by_time = Window.partitionBy("clip_id").orderBy("_at", "_w")
+    far, last = (F.max("_e").over(by_time.rowsBetween(Window.unboundedPreceding, end)) for end in (0, Window.unboundedFollowing))
+    rows = spans.unionByName(ends, allowMissingColumns=True).select("*", far.alias("_far"), last.alias("_last")).where("_w = 0")
     core = F.concat("label", F.format_string(" %.2f-%.2f", "start_s", "end_s")) if times else F.col("label")
     inline = is_inline(F.col("label"))
-    opening = events.select("clip_id", F.col("start_s").alias("t"), F.lit(0).alias("prio"), F.when(inline, F.concat(F.lit("["), core, F.lit("]"))).otherwise(F.concat(F.lit("<"), core, F.lit(">"))).alias("text"))
-    last = spans.groupBy(F.col("_c").alias("clip_id")).agg(F.max("_e").alias("_last"))
-    wide = events.where(~inline).join(last, "clip_id").where(F.col("end_s") + TAIL < F.col("_last"))
-    wide = wide.join(spans, (F.col("clip_id") == F.col("_c")) & (F.col("_s") < F.col("end_s")) & (F.col("_e") > F.col("start_s")), "left_semi")
-    return opening.unionByName(wide.select("clip_id", F.col("end_s").alias("t"), F.lit(2).alias("prio"), F.concat(F.lit("</"), "label", F.lit(">")).alias("text")))
+    opening = F.struct(F.col("start_s").alias("t"), F.lit(0).alias("prio"), F.when(inline, F.concat(F.lit("["), core, F.lit("]"))).otherwise(F.concat(F.lit("<"), core, F.lit(">"))).alias("text"))
+    closing = F.struct(F.col("end_s").alias("t"), F.lit(2).alias("prio"), F.concat(F.lit("</"), "label", F.lit(">")).alias("text"))
+    closes = ~inline & F.col("clip_id").isNotNull() & (F.col("end_s") + TAIL < F.col("_last")) & (F.col("_far") > F.col("start_s"))
+    return rows.select("clip_id", F.inline(F.when(closes, F.array(opening, closing)).otherwise(F.array(opening))))
+
+
+def _series(words: DataFrame, marks: DataFrame) -> DataFrame:
+    """clip_id, t, prio, text, is_word, slot: words and marks in one series, each with the number of words before it."""
+    w = monotone_starts(words).select("clip_id", F.col("at_s").alias("t"), F.lit(1).alias("prio"), F.col("word").alias("text"), F.lit(1).alias("is_word"), "pos")
+    both = w.unionByName(marks.select("clip_id", "t", "prio", "text", F.lit(0).alias("is_word")), allowMissingColumns=True)
+    upto = Window.partitionBy("clip_id").orderBy("t", "prio", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    return both.select("clip_id", "t", "prio", "text", "is_word", (F.sum("is_word").over(upto) - F.col("is_word")).alias("slot"))
 
 
 def slotted(words: DataFrame, marks: DataFrame) -> DataFrame:
@@ -61,20 +77,15 @@ def slotted(words: DataFrame, marks: DataFrame) -> DataFrame:
     An as-of join as one sort: words and marks in one series ordered by time,
     words counted as they pass.
     """
-    w = monotone_starts(words).select("clip_id", F.col("at_s").alias("t"), F.lit(1).alias("prio"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("_w"))
-    both = w.unionByName(marks.select("clip_id", "t", "prio", "text", F.lit(0).alias("_w")))
-    upto = Window.partitionBy("clip_id").orderBy("t", "prio").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("slot", F.sum("_w").over(upto)).where("_w = 0").drop("_w")
+    return _series(words, marks).where("is_word = 0").select("clip_id", "t", "prio", "text", "slot")
 
 
 def tokens(words: DataFrame, marks: DataFrame) -> DataFrame:
     """clip_id, seq, token: words in their order with the tags slotted between, a repeated tag once."""
-    ranked = Window.partitionBy("clip_id").orderBy("pos")
-    own = words.where(F.length(F.trim("word")) > 0).withColumn("pos", F.row_number().over(ranked) - 1).withColumn("word", F.trim("word"))
-    tag = slotted(own, marks).select("clip_id", "slot", F.lit(0).alias("is_word"), F.round("t", 3).alias("t"), "prio", F.col("text").alias("token"))
-    word = own.select("clip_id", F.col("pos").alias("slot"), F.lit(1).alias("is_word"), F.lit(0.0).alias("t"), F.lit(1).alias("prio"), F.col("word").alias("token"))
+    own = words.where(F.length(F.trim("word")) > 0).withColumn("word", F.trim("word"))
+    rows = _series(own, marks).select("clip_id", "slot", "is_word", F.round("t", 3).alias("t"), "prio", F.col("text").alias("token"))
     order = Window.partitionBy("clip_id").orderBy("slot", "is_word", "t", "prio", "token")
-    rows = tag.unionByName(word).withColumn("_before", F.lag("token").over(order)).withColumn("seq", F.row_number().over(order))
+    rows = rows.select("clip_id", "token", F.lag("token").over(order).alias("_before"), F.row_number().over(order).alias("seq"))
     repeated = (F.col("token") == F.col("_before")) & F.substring("token", 1, 1).isin("[", "<")
     return rows.where(F.col("_before").isNull() | ~repeated).select("clip_id", "seq", "token")
 

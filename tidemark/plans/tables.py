@@ -36,6 +36,17 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", "pos", "word", start.alias("start_s"), (start + 0.3).alias("end_s"))
 
 
+#: So many words are sorted in one task, whatever the size of the table.
+WORDS_A_TASK = 300_000
+
+
+def by_clip(spark: SparkSession, sf_dir: str, *frames: DataFrame) -> list[DataFrame]:
+    """Words and frames like sounds, all dealt by clip over as many tasks as the words need; steps on a clip deal nothing anew."""
+    n = read(spark, sf_dir, "conversations").agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // WORDS_A_TASK))
+    return [f.repartition(tasks, "clip_id") for f in frames]
+
+
 def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, label, start_s, end_s: sounds within the recordings of words."""
     rows = words(spark, sf_dir).where("pos % 5 = 2")
