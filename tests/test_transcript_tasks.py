@@ -14,7 +14,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["dedup_consecutive", "asof_slot", "monotone_starts", "merge_same_label"])
+@pytest.mark.parametrize("name", ["dedup_consecutive", "rich_transcript", "asof_slot", "monotone_starts", "merge_same_label"])
 def test_tasks_grow_with_the_words(spark, sf, monkeypatch, name):
     few = registry.QUERIES[name](spark, sf)
     monkeypatch.setattr(t, "WORDS_A_TASK", 200, raising=False)

@@ -122,7 +122,7 @@ def dedup_consecutive(spark, sf_dir):
 
 @query(t.with_tables("words", "sounds") + _TOKENS + " select clip_id, string_agg(token, ' ' order by seq) as transcript from fin group by clip_id")
 def rich_transcript(spark, sf_dir):
-    return tr.rich_transcript(_shifted(spark, sf_dir), t.sounds(spark, sf_dir))
+    return tr.rich_transcript(*t.by_clip(spark, sf_dir, _shifted(spark, sf_dir), t.sounds(spark, sf_dir)))
 
 
 @query(t.with_tables("words") + " select clip_id, pos, round(start_s, 6) as start_s, round(case when pos % 5 = 0 then start_s + 3e-1 else end_s end, 6) as end_s from words where start_s is not null")
