@@ -71,21 +71,19 @@ def suppress_all_filler(spark, sf_dir):
 
 @query(t.with_tables("words", "sounds") + _GAP.format(gap="(case when label in ('cough', 'laugh') then 5e-1 else 15e-1 end)", rows="sounds"))
 def merge_same_label(spark, sf_dir):
-    (s,) = t.by_clip(spark, sf_dir, t.sounds(spark, sf_dir))
-    return tr.merge_same_label(s).withColumn("start_s", F.round("start_s", 6)).withColumn("end_s", F.round("end_s", 6))
+    return tr.merge_same_label(t.sounds(spark, sf_dir, t.turns_by_clip(spark, sf_dir))).withColumn("start_s", F.round("start_s", 6)).withColumn("end_s", F.round("end_s", 6))
 
 
 _SHIFTED = "w as (select clip_id, pos, word, start_s - case when pos % 4 = 3 then 1e0 else 0e0 end as start_s, end_s from words)"
 
 
-def _shifted(spark, sf_dir):
-    return t.words(spark, sf_dir).withColumn("start_s", F.col("start_s") - F.when(F.col("pos") % 4 == 3, 1.0).otherwise(0.0))
+def _shifted(spark, sf_dir, turns=None):
+    return t.words(spark, sf_dir, turns).withColumn("start_s", F.col("start_s") - F.when(F.col("pos") % 4 == 3, 1.0).otherwise(0.0))
 
 
 @query(t.with_tables("words") + f", {_SHIFTED} select clip_id, pos, round(greatest(0e0, coalesce(max(start_s) over (partition by clip_id order by pos), 0e0)), 6) as at_s from w")
 def monotone_starts(spark, sf_dir):
-    (w,) = t.by_clip(spark, sf_dir, _shifted(spark, sf_dir))
-    return tr.monotone_starts(w).select("clip_id", "pos", F.round("at_s", 6).alias("at_s"))
+    return tr.monotone_starts(_shifted(spark, sf_dir, t.turns_by_clip(spark, sf_dir))).select("clip_id", "pos", F.round("at_s", 6).alias("at_s"))
 
 
 _STARTS = f"{_SHIFTED}, st as (select clip_id, greatest(0e0, coalesce(max(start_s) over (partition by clip_id order by pos), 0e0)) as at_s from w where trim(word) <> '')"
@@ -94,8 +92,10 @@ _STARTS = f"{_SHIFTED}, st as (select clip_id, greatest(0e0, coalesce(max(start_
 @query(t.with_tables("words", "sounds") + f""", {_STARTS}, m as (select clip_id, start_s as t, 0 as prio, label from sounds union all select clip_id, end_s, 2, label from sounds)
 select clip_id, round(t, 6) as t, prio, label as text, (select count(*) from st where st.clip_id = m.clip_id and (st.at_s < m.t or (m.prio = 2 and st.at_s = m.t))) as slot from m""")
 def asof_slot(spark, sf_dir):
-    w, s = t.by_clip(spark, sf_dir, _shifted(spark, sf_dir).where("trim(word) <> ''"), t.sounds(spark, sf_dir))
+    turns = t.turns_by_clip(spark, sf_dir)
+    s = t.sounds(spark, sf_dir, turns)
     marks = s.select("clip_id", F.col("start_s").alias("t"), F.lit(0).alias("prio"), F.col("label").alias("text")).union(s.select("clip_id", "end_s", F.lit(2), "label"))
+    w = _shifted(spark, sf_dir, turns).where("trim(word) <> ''")
     return tr.slotted(w, marks).select("clip_id", F.round("t", 6).alias("t"), "prio", "text", "slot")
 
 
@@ -115,14 +115,16 @@ fin as (select * from num where before is null or not (token = before and left(t
 
 @query(t.with_tables("words", "sounds") + _TOKENS + " select clip_id, count(*) as n, count(*) filter (where left(token, 1) in ('[', '<')) as n_tags from fin group by clip_id")
 def dedup_consecutive(spark, sf_dir):
-    own, s = t.by_clip(spark, sf_dir, _shifted(spark, sf_dir).where("trim(word) <> ''"), t.sounds(spark, sf_dir))
-    rows = tr.tokens(own, tr.tags(own, tr.merge_same_label(s)))
+    turns = t.turns_by_clip(spark, sf_dir)
+    own = _shifted(spark, sf_dir, turns).where("trim(word) <> ''")
+    rows = tr.tokens(own, tr.tags(own, tr.merge_same_label(t.sounds(spark, sf_dir, turns))))
     return rows.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.substring("token", 1, 1).isin("[", "<")).alias("n_tags"))
 
 
 @query(t.with_tables("words", "sounds") + _TOKENS + " select clip_id, string_agg(token, ' ' order by seq) as transcript from fin group by clip_id")
 def rich_transcript(spark, sf_dir):
-    return tr.rich_transcript(*t.by_clip(spark, sf_dir, _shifted(spark, sf_dir), t.sounds(spark, sf_dir)))
+    turns = t.turns_by_clip(spark, sf_dir)
+    return tr.rich_transcript(_shifted(spark, sf_dir, turns), t.sounds(spark, sf_dir, turns))
 
 
 @query(t.with_tables("words") + " select clip_id, pos, round(start_s, 6) as start_s, round(case when pos % 5 = 0 then start_s + 3e-1 else end_s end, 6) as end_s from words where start_s is not null")

@@ -29,27 +29,32 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(d.alias("clip_id"), F.col("source").alias("src"), F.col("lang").alias("label"), F.concat(F.lit("shard-"), F.floor(d / 500).cast("string"), F.lit(".parquet")).alias("file"), F.floor(d / 50).cast("int").alias("rg"), (d % 50).cast("int").alias("row"), (F.col("n_chars") / F.lit(100.0)).alias("duration"), F.when(d % 10 == 0, "val").otherwise("train").alias("split"))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_id, pos, word, start_s, end_s: a turn is a recording, a word every 0.4 s; every ninth word has no times."""
-    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    start = F.when(F.col("pos") % 9 != 8, F.col("pos") * F.lit(0.4))
-    return rows.select("clip_id", "pos", "word", start.alias("start_s"), (start + 0.3).alias("end_s"))
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, text: a turn is a recording."""
+    return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"), "text")
 
 
 #: So many words are sorted in one task, whatever the size of the table.
 WORDS_A_TASK = 300_000
 
 
-def by_clip(spark: SparkSession, sf_dir: str, *frames: DataFrame) -> list[DataFrame]:
-    """Words and frames like sounds, all dealt by clip over as many tasks as the words need; steps on a clip deal nothing anew."""
-    n = read(spark, sf_dir, "conversations").agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n // WORDS_A_TASK))
-    return [f.repartition(tasks, "clip_id") for f in frames]
+def turns_by_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turns dealt by clip over as many tasks as their words need; whole texts move, and steps on a clip's words deal nothing anew."""
+    rows = turns(spark, sf_dir)
+    n = rows.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-n // WORDS_A_TASK)), "clip_id")
+
+
+def words(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """clip_id, pos, word, start_s, end_s: the words of turns, one every 0.4 s; every ninth word has no times."""
+    rows = (turns(spark, sf_dir) if of is None else of).select("clip_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    start = F.when(F.col("pos") % 9 != 8, F.col("pos") * F.lit(0.4))
+    return rows.select("clip_id", "pos", "word", start.alias("start_s"), (start + 0.3).alias("end_s"))
 
 
-def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sounds(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """clip_id, label, start_s, end_s: sounds within the recordings of words."""
-    rows = words(spark, sf_dir).where("pos % 5 = 2")
+    rows = words(spark, sf_dir, of).where("pos % 5 = 2")
     label = F.element_at(F.array(*map(F.lit, ("cough", "horn", "laugh", "bird"))), (F.floor(F.col("pos") / 10) % 4 + 1).cast("int"))
     start = F.col("pos") * F.lit(0.4) + 0.1
     return rows.select("clip_id", label.alias("label"), start.alias("start_s"), (start + 0.9).alias("end_s"))
